@@ -150,7 +150,7 @@ class ByteBpe:
 @functools.lru_cache(maxsize=2)
 def vocabulary(path: str, pattern: str) -> tuple[ByteBpe, Cache, Cache]:
     """Once in each Python worker, with a cache of what stretches of text come to and one of pre-tokens."""
-    return ByteBpe(path, pattern), Cache(), Cache(200_000)
+    return ByteBpe(path, pattern), Cache(300_000), Cache(250_000)
 
 
 def stretches(text: str) -> list:
@@ -188,19 +188,17 @@ def stretches(text: str) -> list:
 def encode_texts(texts: Iterable[str], path: str, pattern: str) -> list[tuple[bytes, str]]:
     """Of each text its ids as bytes of 32-bit integers, and in decimal, joined by commas."""
     bpe, cache, tokens = vocabulary(path, pattern)
-    lists = [stretches(t) for t in texts]
-    new = cache.missing(lists)
-    cut = [bpe.pattern.findall(w[0] if isinstance(w, tuple) else f" {w}") for w in new]
-    words = tokens.missing(cut)
-    tokens.update(zip(words, bpe.encode_words([w.encode() for w in words]), strict=True))
-    for word, parts in zip(new, cut, strict=True):
-        ids = b"".join([tokens[p] for p in parts])
-        cache[word] = (ids, ",".join(map(str, memoryview(ids).cast("i"))))
-    out = []
-    for words in lists:
-        found = [cache[w] for w in words]
-        out.append((b"".join([a for a, _ in found]), ",".join([b for _, b in found])))
-    return out
+
+    def of_words(words: list[str]) -> list[bytes]:
+        return bpe.encode_words([w.encode() for w in words])
+
+    def of_stretches(new: list) -> list[tuple[bytes, str]]:
+        cut = [bpe.pattern.findall(w[0] if isinstance(w, tuple) else f" {w}") for w in new]
+        ids = [b"".join(x) for x in tokens.resolve(cut, of_words)]
+        return [(x, ",".join(map(str, memoryview(x).cast("i")))) for x in ids]
+
+    found = cache.resolve([stretches(t) for t in texts], of_stretches)
+    return [(b"".join([a for a, _ in x]), ",".join([b for _, b in x])) for x in found]
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

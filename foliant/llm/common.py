@@ -68,21 +68,22 @@ def by_slices(work: Callable[[list, list[str]], pa.RecordBatch]) -> Callable[[It
 
 
 class Cache(dict):
-    """A dict for what distinct words come to; it is emptied when it holds `most` entries, so that memory stays bounded."""
+    """A dict for what distinct words come to; it is emptied when it would hold more than `most` entries, so that memory stays bounded."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int):
         super().__init__()
         self.most = most
 
-    def missing(self, lists: list[list[str]]) -> list[str]:
-        """The distinct words of `lists` not held yet."""
-        words = set().union(*lists)
-        new = words.difference(self.keys())
-        if len(self) + len(new) > self.most and len(self):
+    def resolve(self, lists: list[list], make: Callable[[list], list]) -> list[list]:
+        """The values of all words of `lists`; `make` gives those of the distinct words not held yet."""
+        found = [list(map(self.get, words)) for words in lists]
+        holes = [[i for i, v in enumerate(values) if v is None] if None in values else [] for values in found]
+        new = list({words[i] for words, at in zip(lists, holes, strict=True) for i in at})
+        fresh = dict(zip(new, make(new), strict=True))
+        for words, values, at in zip(lists, found, holes, strict=True):
+            for i in at:
+                values[i] = fresh[words[i]]
+        if len(self) + len(fresh) > self.most:
             self.clear()
-            return list(words)
-        return list(new)
-
-
-def digest(column) -> F.Column:
-    return F.sha2(column, 256)
+        self.update(fresh)
+        return found

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import byte_bpe, packing, quality, toxicity, transport
+from foliant.llm import byte_bpe, jaccard, packing, pii, quality, resharding, toxicity, transport, unigram
 from foliant.llm.common import documents
 
 
@@ -29,14 +29,50 @@ def op4_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transport.described(transport.to_media(documents(spark, sf_dir)))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Returns per document doc_id, n_tokens and n_pretokens."""
+    return unigram.counted(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(documents(spark, sf_dir))
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(documents(spark, sf_dir))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op3_toxicity, op4_transport_streams, op6_quality_rules, op8_byte_bpe)}
+def op9_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The old shards are those of the sources, which a hash dealt over 8 shards; the new ones are to be equal in bytes."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
+    old = F.pmod(F.crc32(F.coalesce(F.col("source"), F.lit("")).cast("binary")), F.lit(8))
+    placed = resharding.resharded(resharding.sized(docs, old), 8)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "old_shard"
+    )
+
+
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.joined(documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_best_fit_packing,
+        op3_toxicity,
+        op4_transport_streams,
+        op5_token_counts,
+        op6_quality_rules,
+        op7_personal_data,
+        op8_byte_bpe,
+        op9_resharding,
+        op10_ngram_jaccard,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {}
