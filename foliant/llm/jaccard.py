@@ -347,3 +347,19 @@ def joined(docs: DataFrame, percent: int = 90, words: int = 3) -> DataFrame:
     names = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     by_class = named.join(names, "root").select("k", "component_id")
     return indexed.select("doc_id", F.col("n").alias("n_shingles"), "k").join(by_class, "k", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def representatives(docs: DataFrame, percent: int, words: int) -> DataFrame:
+    """The rows of `docs`, with all their columns, of which one stays for each connected group: that with the least doc_id.
+
+    Rows without a set all stay. Rows equal in doc_id and text count as one.
+    """
+    found = written(joined(docs, percent, words), "components")
+    keep = found.where("n_shingles = 0 OR doc_id <=> component_id").select(F.col("doc_id").alias("__id")).distinct()
+    names = docs.columns
+    rows = docs.join(keep, docs["doc_id"].eqNullSafe(keep["__id"]), "left_semi")
+    repeated = found.where("n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__id"))
+    # only rows whose doc_id occurs more than once can be repeats
+    once = rows.join(repeated, rows["doc_id"].eqNullSafe(repeated["__id"]), "left_anti")
+    often = rows.join(repeated, rows["doc_id"].eqNullSafe(repeated["__id"]), "left_semi").withColumn("__hash", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    return once.unionByName(often.dropDuplicates(["doc_id", "__hash"]).select(names))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import byte_bpe, jaccard, packing, pii, quality, resharding, toxicity, transport, unigram
+from foliant.llm import byte_bpe, jaccard, lines, packing, pii, quality, resharding, toxicity, transport, unigram
 from foliant.llm.common import documents
 
 
@@ -18,6 +18,11 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(cut, capacity)
 
 
+def op2_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Returns per document doc_id, n_lines, n_removed and removed, the numbers of its removed lines."""
+    return lines.report(documents(spark, sf_dir))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_best_fit_packing,
+        op2_fuzzy_lines,
         op3_toxicity,
         op4_transport_streams,
         op5_token_counts,
