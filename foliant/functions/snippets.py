@@ -1,0 +1,25 @@
+"""Completions as a small table."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+# Label and inserted text.
+SNIPPETS = [
+    ("\\documentclass", "documentclass[${1:options}]{${2:article}}"),
+    ("\\usepackage", "usepackage{${1:package}}"),
+    ("\\begin", "begin{${1:environment}}\n\t$0\n\\end{${1:environment}}"),
+    ("\\end", "end{${1:environment}}"),
+    ("\\section", "section{${1:title}}"),
+    ("\\subsection", "subsection{${1:title}}"),
+    ("\\textbf", "textbf{${1:text}}"),
+    ("\\textit", "textit{${1:text}}"),
+    ("\\underline", "underline{${1:text}}"),
+    ("\\includegraphics", "includegraphics[width=${1:1\\textwidth}]{${2:filename.png}}"),
+    ("\\frac", "frac{${1:numerator}}{${2:denominator}}"),
+    ("\\sum", "sum_{${1:i=1}}^{${2:n}}"),
+]
+
+
+def snippets(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(SNIPPETS, "label string, insert_text string")
