@@ -40,7 +40,7 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
         if found["n"] == 0 or found == mark:
             break
         mark = found
-        now = written(_small_star(_large_star(now).distinct()).distinct(), "edges")
+        now = written(_small_star(_large_star(now)).distinct(), "edges")
     else:
         raise RuntimeError("components: the rounds didn't settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -69,7 +69,8 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         .withColumn("sorted", F.expr("CASE WHEN size(array_distinct(windows)) < size(windows) THEN array_sort(transform(windows, (h, i) -> struct(h, i))) END"))
         .withColumn("found", F.expr("array_sort(transform(filter(sorted, (s, k) -> s.h = get(sorted, k - 1).h OR s.h = get(sorted, k + 1).h), s -> s.i))"))
         .withColumn("n_repeat_words", F.expr("coalesce(cast(aggregate(transform(found, (p, k) -> least(3, coalesce(get(found, k + 1), p + 3) - p)), 0, (a, b) -> a + b) AS bigint), 0)"))
-        .drop("windows", "sorted", "found")
+        # a filter on the metrics stays above this, instead of having the steps folded into it
+        .selectExpr("inline(array(struct(doc_id, n_words, word_chars, n_symbols, n_marks, n_lines, n_dup_lines, n_stop, n_repeat_words)))")
     )
 
 
