@@ -26,22 +26,28 @@ def scatter(split: DataFrame, key: str) -> DataFrame:
     return rows.select(key, (F.col("__at") + 1).alias("chunk_id"), "total", "chunk", in_turn(F.col("__at"), WORKER_MODELS).alias("model"))
 
 
-def chosen(chunk: Column, reply: Column) -> Column:
-    """The text to go on with. The chunk itself where the reply says that nothing changed, holds no code, or far too little of it."""
-    found = F.coalesce(F.nullif(t.updated_block(reply), F.lit("")), F.nullif(t.fenced_block(reply), F.lit("")))
+def replied_block(reply: Column) -> Column:
+    """The code that a reply holds, null where it holds none."""
+    return F.coalesce(F.nullif(t.updated_block(reply), F.lit("")), F.nullif(t.fenced_block(reply), F.lit("")))
+
+
+def chosen(chunk: Column, found: Column, summary: Column) -> Column:
+    """The text to go on with: the code found in a reply, or the chunk where nothing changed, nothing was found, or far too little."""
     short = (t.utf16_length(found) < t.utf16_length(chunk) * 0.5) & (t.utf16_length(chunk) > 500)
-    same = F.coalesce(t.says_no_change(t.changes_summary(reply)), F.lit(False))
-    return F.when(same | reply.isNull() | found.isNull() | F.coalesce(short, F.lit(False)), chunk).otherwise(found)
+    same = F.coalesce(t.says_no_change(summary), F.lit(False))
+    return F.when(same | found.isNull() | F.coalesce(short, F.lit(False)), chunk).otherwise(found)
 
 
 def gather(tasks: DataFrame, replies: DataFrame, key: str) -> DataFrame:
     """key, chunks in the order of the ids that replies name (else the tasks'), and summaries."""
     held = replies.select(F.col(key).alias("__key"), F.col("chunk_id").alias("__chunk"), "reply")
     rows = tasks.join(held, (tasks[key] == held["__key"]) & (tasks["chunk_id"] == held["__chunk"]), "left")
-    summary = F.nullif(t.changes_summary(F.col("reply")), F.lit(""))
-    line = F.when(summary.isNotNull(), F.concat(F.lit("**Agent "), F.col("chunk_id").cast("string"), F.lit(":** "), summary))
-    # where an id isn't named the task's stands in, and the task's settles ties
-    item = F.struct(F.coalesce(t.chunk_id(F.col("reply")), F.col("chunk_id")).alias("a"), F.col("chunk_id").alias("b"), chosen(F.col("chunk"), F.col("reply")).alias("text"), line.alias("line"))
+    # columns of their own, so that each pattern runs once
+    rows = rows.select(key, "chunk_id", "chunk", t.chunk_id(F.col("reply")).alias("__named"), replied_block(F.col("reply")).alias("__found"), t.changes_summary(F.col("reply")).alias("__summary"))
+    line = F.when(F.col("__summary") != "", F.concat(F.lit("**Agent "), F.col("chunk_id").cast("string"), F.lit(":** "), F.col("__summary")))
+    # where no id is named the task's stands in, and the task's settles ties
+    text = chosen(F.col("chunk"), F.col("__found"), F.col("__summary"))
+    item = F.struct(F.coalesce("__named", "chunk_id").alias("a"), F.col("chunk_id").alias("b"), text.alias("text"), line.alias("line"))
     held = rows.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("__items"))
     return held.select(key, F.transform("__items", lambda x: x["text"]).alias("chunks"), F.filter(F.transform("__items", lambda x: x["line"]), lambda x: x.isNotNull()).alias("summaries"))
 

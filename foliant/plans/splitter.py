@@ -69,4 +69,6 @@ def split(docs: DataFrame, key: str, text: str, target: int = 4) -> DataFrame:
     pieces = f"transform(sequence(1, size({bounds}) - 1), k -> array_join(slice(body, ({bounds})[k - 1] + 2, greatest(({bounds})[k] - ({bounds})[k - 1], 0)), '\n'))"
     rows = rows.withColumn("__all", F.expr(pieces))
     kept = F.filter("__all", lambda c: trim_space(c) != "")
-    return rows.select(key, "preamble", F.when(F.col("__n") < 2 * target, F.array(F.array_join("body", "\n"))).otherwise(kept).alias("chunks"))
+    chunks = F.when(F.col("__n") < 2 * target, F.array(F.array_join("body", "\n"))).otherwise(kept)
+    # what reads the chunks more than once stays above this, instead of having the cuts made as often
+    return rows.select(F.inline(F.array(F.struct(F.col(key), F.col("preamble"), chunks.alias("chunks")))))

@@ -445,7 +445,8 @@ def p2_p8_parallel_edit(read):
 SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN CASE WHEN length(text) > 500 AND length(source) < length(text) * 0.5 THEN 'chunk' ELSE 'reply' END WHEN 2 THEN CASE WHEN length(text) > 500 THEN 'chunk' ELSE 'reply' END ELSE 'chunk' END AS taken
 FROM (SELECT doc_id, text, source FROM documents)""")
 def p6_choose(read):
-    return replies(read).select("doc_id", F.when(edits.chosen(F.col("text"), F.col("reply")) == F.col("text"), "chunk").otherwise("reply").alias("taken"))
+    rows = replies(read).select("doc_id", "text", edits.replied_block(F.col("reply")).alias("found"), t.changes_summary(F.col("reply")).alias("summary"))
+    return rows.select("doc_id", F.when(edits.chosen(F.col("text"), F.col("found"), F.col("summary")) == F.col("text"), "chunk").otherwise("reply").alias("taken"))
 
 
 @query("""

@@ -54,7 +54,7 @@ def test_choose(spark):
         ("o", None, "o"),
     ]
     rows = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(cases)], "i int, a string, b string")
-    assert [r[0] for r in rows.orderBy("i").select(edits.chosen(F.col("a"), F.col("b"))).collect()] == [c for _, _, c in cases]
+    assert [r[0] for r in rows.orderBy("i").select(edits.chosen(F.col("a"), edits.replied_block(F.col("b")), t.changes_summary(F.col("b")))).collect()] == [c for _, _, c in cases]
 
 
 def test_paths_and_checks(spark):
