@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -21,15 +23,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
 
 
+@functools.cache
+def own_dir(application: str) -> str:
+    return tempfile.mkdtemp(prefix="spark-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share. One is made up only where the session names none, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        import tempfile
-
-        found = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    return (found or own_dir(spark.sparkContext.applicationId)).rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
