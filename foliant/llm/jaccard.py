@@ -25,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import by_slices, written
+from foliant.llm.common import by_slices, slices, written
 from foliant.llm.components import components
 
 #: Counting buckets, 2 to this power, and the parts that a task's counts are sent in.
 BUCKETS, PARTS = 20, 16
 #: Lists up to SHORT are joined pair by pair. A block has at most about BLOCK sets, with SHARED that all blocks of its group have.
 SHORT, BLOCK, SHARED = 8, 3_000, 150
+#: Sets that link share so many of their indexed tokens (all that they must share, if that is fewer).
+MEET = 3
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -142,7 +144,7 @@ def sets(docs: DataFrame, steps, words: int, percent: int, whole: bool) -> DataF
         if whole:
             tokens = pa.array([t.tobytes() for t in found], pa.binary())
         else:
-            parts = [t[: len(t) - -(-percent * len(t) // 100) + 1] for t in found]
+            parts = [t[: len(t) - must + min(MEET, must)] for t, must in ((t, -(-percent * len(t) // 100)) for t in found)]
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
             tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*parts, np.zeros(0, np.uint64)]).view(np.int64)))
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([len(t) for t in found], pa.int64()), pa.array([key_of(t) for t in found], pa.int64()), tokens], names=["doc_id", "n", "k", "tokens"])
@@ -155,30 +157,28 @@ def linked(overlap: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
 
 
 def lists(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Over a partition of (token, n, k, pos) sorted by these: candidate pairs (u, v), `long` where they are links of a long list's group."""
+    """Over a partition of (token, n, k, pos) sorted by these: pairs (u, v) with the lists they met in and how many they have to meet in, which is 0 for links of a long list's group."""
 
     def pairs(token: np.ndarray, n: np.ndarray, k: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
         first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        length = np.repeat(np.diff(np.concatenate([first, [len(token)]])), np.diff(np.concatenate([first, [len(token)]])))
-        us, vs, longs = [], [], []
+        sizes = np.diff(np.concatenate([first, [len(token)]]))
+        length = np.repeat(sizes, sizes)
+        found = []
         for step in range(1, SHORT):
             i = np.flatnonzero((token[step:] == token[:-step]) & (length[step:] <= SHORT))
             j = i + step
-            # the smaller set comes first in the list; what is left after the shared token bounds the overlap
-            rest = 1 + np.minimum(n[i] - pos[i], n[j] - pos[j]) - 1
-            keep = (100 * n[i] >= percent * n[j]) & (rest * (100 + percent) >= percent * (n[i] + n[j]))
-            us.append(k[i[keep]])
-            vs.append(k[j[keep]])
-            longs.append(np.zeros(int(keep.sum()), bool))
+            # the smaller set comes first; this token, those after it and MEET - 1 before it bound the overlap
+            most = np.minimum(n[i] - pos[i], n[j] - pos[j]) + MEET - 1
+            keep = (100 * n[i] >= percent * n[j]) & (most * (100 + percent) >= percent * (n[i] + n[j]))
+            i, j = i[keep], j[keep]
+            found.append((k[i], k[j], np.minimum(MEET, -(-percent * n[j] // 100))))
         i = np.flatnonzero((token[1:] == token[:-1]) & (length[1:] > SHORT))
         i = i[100 * n[i] >= percent * n[i + 1]]  # a gap in sizes ends a group
-        us.append(k[i])
-        vs.append(k[i + 1])
-        longs.append(np.ones(len(i), bool))
-        u, v, long = np.concatenate(us), np.concatenate(vs), np.concatenate(longs)
-        both = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v), long.astype(np.int64)], 1), axis=0) if len(u) else np.zeros((0, 3), np.int64)
-        both = both[both[:, 0] != both[:, 1]]
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(both[:, 2] == 1)], names=["u", "v", "long"])
+        found.append((k[i], k[i + 1], np.zeros(len(i), np.int64)))
+        u, v, need = (np.concatenate(x) for x in zip(*found, strict=True))
+        rows = np.stack([np.minimum(u, v), np.maximum(u, v), need], 1)[u != v]
+        rows, met = np.unique(rows, axis=0, return_counts=True)
+        return pa.RecordBatch.from_arrays([*[pa.array(np.ascontiguousarray(c)) for c in rows.T], pa.array(met.astype(np.int64))], names=["u", "v", "need", "met"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left = None
@@ -321,45 +321,58 @@ def group_links(long: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
     return first.unionByName(written(rows.groupBy("group", "block").applyInPandas(search(percent, True), "u long, v long"), "links"))
 
 
-def joined(docs: DataFrame, percent: int = 90, words: int = 3) -> DataFrame:
-    """doc_id, n_shingles and component_id of every document, for links of at least `percent` Jaccard similarity."""
-    spark = docs.sparkSession
+def classified(docs: DataFrame, percent: int, words: int) -> tuple[DataFrame, DataFrame, object]:
+    """Each document's (doc_id, n, k), each class's (k, rep, root, component_id), and the token order."""
     docs = docs.select("doc_id", "text")
-    steps = spark.sparkContext.broadcast(levels(docs, words))
+    steps = docs.sparkSession.sparkContext.broadcast(levels(docs, words))
     indexed = written(sets(docs, steps, words, percent, False), "sets")
-    classes = indexed.where("k >= 0").groupBy("k").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.first("tokens").alias("tokens"))
+    classes = indexed.where("k >= 0").groupBy("k").agg(F.min("n").alias("n"), F.first("tokens").alias("tokens"))
     entries = classes.select("k", "n", F.posexplode("tokens").alias("pos", "token"))
     entries = entries.select("token", "n", "k", F.col("pos").cast("long").alias("pos"))
     entries = entries.repartition("token").sortWithinPartitions("token", "n", "k")
-    found = written(entries.mapInArrow(lists(percent), "u long, v long, long boolean"), "pairs")
-    short, long = found.where("NOT long").select("u", "v").distinct(), found.where("long").select("u", "v").distinct()
+    met = entries.mapInArrow(lists(percent), "u long, v long, need long, met long").groupBy("u", "v", "need").agg(F.sum("met").alias("met"))
+    found = written(met.where("met >= need"), "pairs")
+    short, long = found.where("need > 0").select("u", "v"), found.where("need = 0").select("u", "v")
     wanted = found.select(F.explode(F.array("u", "v")).alias("k")).distinct()
-    reps = indexed.where("k >= 0").join(wanted, "k", "left_semi").groupBy("k").agg(F.min("doc_id").alias("rep"))
-    reps = written(reps.select("rep").distinct(), "reps")
+    named = indexed.where("k >= 0").groupBy("k").agg(F.min("doc_id").alias("rep"))
+    reps = written(named.join(wanted, "k", "left_semi").select("rep").distinct(), "reps")
     bodies = docs.join(reps, docs["doc_id"].eqNullSafe(reps["rep"]), "left_semi")
-    bodies = written(sets(bodies, steps, words, percent, True).select("k", "tokens"), "bodies")
-    x, y = bodies.select(F.col("k").alias("u"), F.col("tokens").alias("x")), bodies.select(F.col("k").alias("v"), F.col("tokens").alias("y"))
+    bodies = written(sets(bodies, steps, words, percent, True).select("k", "tokens").join(wanted, "k", "left_semi"), "bodies")
+    x, y = bodies.select(F.col("k").alias("u"), F.col("tokens").alias("x")).dropDuplicates(["u"]), bodies.select(F.col("k").alias("v"), F.col("tokens").alias("y")).dropDuplicates(["v"])
     checked = short.join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInArrow(verify(percent), "u long, v long")
-    links = checked.unionByName(group_links(long, bodies, percent))
-    roots = written(components(links), "roots")
-    reps = indexed.where("k >= 0").groupBy("k").agg(F.min("doc_id").alias("rep"))
-    named = reps.join(roots, reps["k"] == roots["node"], "left").select("k", "rep", F.coalesce("root", "k").alias("root"))
+    roots = written(components(checked.unionByName(group_links(long, bodies, percent))), "roots")
+    named = written(named.join(roots, named["k"] == roots["node"], "left").select("k", "rep", F.coalesce("root", "k").alias("root")), "named")
     names = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    by_class = named.join(names, "root").select("k", "component_id")
-    return indexed.select("doc_id", F.col("n").alias("n_shingles"), "k").join(by_class, "k", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return indexed.select("doc_id", "n", "k"), named.join(names, "root").select("k", "rep", "root", "component_id"), steps
+
+
+def joined(docs: DataFrame, percent: int = 90, words: int = 3) -> DataFrame:
+    """doc_id, n_shingles and component_id of every document, for links of at least `percent` Jaccard similarity."""
+    indexed, classes, _ = classified(docs, percent, words)
+    rows = indexed.join(classes.select("k", "component_id"), "k", "left")
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("k") < 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def representatives(docs: DataFrame, percent: int, words: int) -> DataFrame:
-    """The rows of `docs`, with all their columns, of which one stays for each connected group: that with the least doc_id.
+    """The rows of `docs`, with all their columns, of which one stays for each connected group: one with the least doc_id.
 
-    Rows without a set all stay. Rows equal in doc_id and text count as one.
+    Rows without a set all stay. A group of which no row has a doc_id keeps one, too.
     """
-    found = written(joined(docs, percent, words), "components")
-    keep = found.where("n_shingles = 0 OR doc_id <=> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    names = docs.columns
-    rows = docs.join(keep, docs["doc_id"].eqNullSafe(keep["__id"]), "left_semi")
-    repeated = found.where("n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__id"))
-    # only rows whose doc_id occurs more than once can be repeats
-    once = rows.join(repeated, rows["doc_id"].eqNullSafe(repeated["__id"]), "left_anti")
-    often = rows.join(repeated, rows["doc_id"].eqNullSafe(repeated["__id"]), "left_semi").withColumn("__hash", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-    return once.unionByName(often.dropDuplicates(["doc_id", "__hash"]).select(names))
+    indexed, classes, steps = classified(docs, percent, words)
+    rows = written(indexed.join(classes.select("k", "component_id"), "k", "left"), "components")
+    repeated = rows.groupBy("doc_id").agg(F.count("*").alias("times")).where("times > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("__id"))
+    plain = rows.where("k < 0 OR doc_id = component_id").select(F.col("doc_id").alias("__id")).join(repeated, "__id", "left_anti").where("__id IS NOT NULL")
+    kept = docs.join(plain, docs["doc_id"] == plain["__id"], "left_semi")
+    # where doc_id doesn't tell rows apart, their classes do
+    names, schema = docs.columns, docs.withColumn("__k", F.lit(0).cast("long")).schema
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [x or "" for x in batch.column(names.index("text")).to_pylist()]
+            keys = [key_of(ordered(h, steps.value)) for a, b in slices(texts) for h in shingles(texts[a:b], words)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], schema=pa.schema([*batch.schema, pa.field("__k", pa.int64())]))
+
+    odd = docs.join(repeated, docs["doc_id"].eqNullSafe(repeated["__id"]), "left_semi").mapInArrow(keyed, schema)
+    first = classes.where("rep <=> component_id").groupBy("root", "component_id").agg(F.min("k").alias("__first")).drop("root")
+    one = odd.join(first, (odd["__k"] == first["__first"]) & odd["doc_id"].eqNullSafe(first["component_id"]), "left_semi").dropDuplicates(["__k"])
+    return kept.unionByName(one.select(names)).unionByName(odd.where("__k < 0").select(names))
