@@ -41,7 +41,7 @@ RULES = [
     Rule("word length", "try_divide(word_chars, n_words)", 2.0, 12.0),
     Rule("symbols", "try_divide(n_symbols, n_words)", None, 0.1),
     Rule("marks", "try_divide(n_marks, n_words)", None, 0.5),
-    Rule("stop words", "try_divide(n_stop, n_words)", 0.03, None),
+    Rule("stop words", "try_divide(n_stop, n_words)", 0.01, None),
     Rule("repeated lines", "try_divide(n_dup_lines, n_lines)", None, 0.3),
     Rule("repeated windows", "try_divide(n_repeat_words, n_words)", None, 0.5),
     Rule("words a line", "try_divide(n_words, n_lines)", 2.0, None),
