@@ -1,14 +1,14 @@
 """Exact Jaccard self-join on word n-grams, for connected groups, by skipping on set relations.
 
 Equal sets are one class. A first pass counts all shingles of all documents in a table of fixed size, which gives the
-global order of tokens: rare ones first. The index has a class's first tokens, as many as one of them must be shared
-with any class it links with. An index list is sorted by set size. Short lists are joined pair by pair, skipping by size
-and by position (what comes after a shared token bounds the overlap). The sets of long lists are nearly alike, as rare
-tokens that many sets share are those of copies; they form groups, and a group's answers are derived from each other: a
-set is held as its difference from what most of the group has, and overlaps with all sets not yet reached follow from
-the overlaps of the differences. No pair is emitted that isn't a step of the search, so a group of thousands costs a
-forest. Large groups are split into blocks that share some members; after that only sets outside a group's main
-component meet the other blocks.
+global order of tokens: rare ones first. The index has a class's first tokens, enough for it to share some with any
+class it links with. An index list is sorted by set size. Sets of short lists are candidates pair by pair, skipping by
+size and by position (what comes after a shared token bounds the overlap) and asking for several shared tokens; sets of
+long lists, which are those of copies, are candidates with their neighbours. Candidates form groups, and a group's
+answers are derived from each other: a set is held as its difference from what most of the group has, and overlaps with
+all sets not yet reached follow from the overlaps of the differences. No pair is emitted that isn't a step of the
+search, so a group of thousands costs a forest. Large groups are split into blocks that share some members; after that
+only sets outside a group's main component meet the other blocks.
 
 Two classes that share a 64-bit digest of their sets would be taken for one. Nulls: a null or blank text has no set and
 links with nothing; a null doc_id is carried along and never names a component, unless all of its members have none.
@@ -34,6 +34,8 @@ BUCKETS, PARTS = 20, 16
 SHORT, BLOCK, SHARED = 8, 3_000, 150
 #: Sets that link share so many of their indexed tokens (all that they must share, if that is fewer).
 MEET = 3
+#: Sets that a task searches, and as many doc_ids are broadcast at most, a long each.
+BATCH, BROADCAST_ROWS = 1_000, 1_000_000
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -267,36 +269,31 @@ class Group:
 
 
 def search(percent: int, labelled: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """For applyInPandas over a block's sets (k, tokens[, label, guest])."""
+    """For applyInPandas over the sets of some blocks (group, block, k, tokens[, label, guest]), block by block."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("guest", ascending=False).drop_duplicates("k") if labelled else pdf.drop_duplicates("k")
-        k = pdf["k"].to_numpy()
-        group = Group([np.frombuffer(t, np.uint64) for t in pdf["tokens"]])
-        edges = list(group.forest(percent, pdf["label"].to_numpy(), pdf["guest"].to_numpy()) if labelled else group.forest(percent))
-        return pd.DataFrame({"u": [int(k[a]) for a, _ in edges], "v": [int(k[b]) for _, b in edges]}, columns=["u", "v"]).astype("int64")
+        edges: list[tuple[int, int]] = []
+        for _, part in pdf.groupby(["group", "block"], sort=False):
+            part = part.sort_values("guest", ascending=False).drop_duplicates("k") if labelled else part.drop_duplicates("k")
+            k = part["k"].to_numpy()
+            group = Group([np.frombuffer(t, np.uint64) for t in part["tokens"]])
+            found = group.forest(percent, part["label"].to_numpy(), part["guest"].to_numpy()) if labelled else group.forest(percent)
+            edges += [(int(k[a]), int(k[b])) for a, b in found]
+        return pd.DataFrame(edges, columns=["u", "v"]).astype("int64")
 
     return run
 
 
-def verify(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                at = np.searchsorted(b, a)
-                at[at == len(b)] = 0
-                overlap = int((b[at] == a).sum())
-                keep.append(100 * overlap >= percent * (len(a) + len(b) - overlap))
-            yield batch.filter(pa.array(keep, pa.bool_())).select(["u", "v"])
-
-    return run
+def searched(rows: DataFrame, percent: int, labelled: bool, batches: int) -> DataFrame:
+    """Small blocks share a batch; what a task holds is some thousand sets and at most some blocks beyond them."""
+    dealt = rows.withColumn("batch", F.pmod(F.xxhash64("group", "block"), F.lit(batches)))
+    return dealt.groupBy("batch").applyInPandas(search(percent, labelled), "u long, v long")
 
 
-def group_links(long: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v) that connect the sets of long lists as all their links would."""
-    groups = written(components(long), "groups").withColumnsRenamed({"node": "k", "root": "group"})
+def group_links(candidates: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) that connect the sets as all their links would."""
+    groups = written(components(candidates), "groups").withColumnsRenamed({"node": "k", "root": "group"})
+    batches = max(1, groups.count() // BATCH)
     sizes = groups.groupBy("group").agg(F.count("*").alias("members"))
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     members = groups.join(sizes, "group").withColumn("blocks", blocks)
@@ -306,7 +303,7 @@ def group_links(long: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     spread = held.where("blocks = 1 OR NOT " + f"(pmod(xxhash64(k + 1), members) < {SHARED})").select("group", "block", "k", "tokens")
     spread = spread.unionByName(held.where("blocks > 1").where(share).select("group", every.alias("block"), "k", "tokens"))
-    first = written(spread.groupBy("group", "block").applyInPandas(search(percent, False), "u long, v long"), "links")
+    first = written(searched(spread, percent, False, batches), "links")
     if held.where("blocks > 1").limit(1).count() == 0:
         return first
     roots = components(first)
@@ -318,7 +315,7 @@ def group_links(long: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
     open_ = label.join(main, "group")
     guests = open_.where("label <> main").select("group", every.alias("block"), "k", "tokens", "label", F.lit(True).alias("guest"))
     rows = open_.select("group", "block", "k", "tokens", "label", F.lit(False).alias("guest")).unionByName(guests)
-    return first.unionByName(written(rows.groupBy("group", "block").applyInPandas(search(percent, True), "u long, v long"), "links"))
+    return first.unionByName(written(searched(rows, percent, True, batches), "links"))
 
 
 def classified(docs: DataFrame, percent: int, words: int) -> tuple[DataFrame, DataFrame, object]:
@@ -332,15 +329,13 @@ def classified(docs: DataFrame, percent: int, words: int) -> tuple[DataFrame, Da
     entries = entries.repartition("token").sortWithinPartitions("token", "n", "k")
     met = entries.mapInArrow(lists(percent), "u long, v long, need long, met long").groupBy("u", "v", "need").agg(F.sum("met").alias("met"))
     found = written(met.where("met >= need"), "pairs")
-    short, long = found.where("need > 0").select("u", "v"), found.where("need = 0").select("u", "v")
     wanted = found.select(F.explode(F.array("u", "v")).alias("k")).distinct()
     named = indexed.where("k >= 0").groupBy("k").agg(F.min("doc_id").alias("rep"))
     reps = written(named.join(wanted, "k", "left_semi").select("rep").distinct(), "reps")
+    reps = F.broadcast(reps) if reps.count() <= BROADCAST_ROWS else reps
     bodies = docs.join(reps, docs["doc_id"].eqNullSafe(reps["rep"]), "left_semi")
-    bodies = written(sets(bodies, steps, words, percent, True).select("k", "tokens").join(wanted, "k", "left_semi"), "bodies")
-    x, y = bodies.select(F.col("k").alias("u"), F.col("tokens").alias("x")).dropDuplicates(["u"]), bodies.select(F.col("k").alias("v"), F.col("tokens").alias("y")).dropDuplicates(["v"])
-    checked = short.join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInArrow(verify(percent), "u long, v long")
-    roots = written(components(checked.unionByName(group_links(long, bodies, percent))), "roots")
+    bodies = sets(bodies, steps, words, percent, True).select("k", "tokens")
+    roots = written(components(group_links(found.select("u", "v").distinct(), bodies, percent)), "roots")
     named = written(named.join(roots, named["k"] == roots["node"], "left").select("k", "rep", F.coalesce("root", "k").alias("root")), "named")
     names = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     return indexed.select("doc_id", "n", "k"), named.join(names, "root").select("k", "rep", "root", "component_id"), steps
