@@ -40,7 +40,7 @@ def tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path), Cache(400_000), Cache(250_000)
+    return Tokenizer.from_file(path), Cache(400_000), Cache(500_000)
 
 
 def lowered(text: str) -> str:
@@ -60,17 +60,19 @@ def token_ids(texts: list[str], path: str) -> list[bytes]:
     or comma after a letter or digit is a match of its own.
     """
     tok, cache, cores = tokenizer(path)
-    lists = [lowered(t).replace("\n", " ").split(" ") for t in texts]
-    new = cache.missing(lists)
-    cut = [(w[:-1], w[-1:]) if w[-1:] in (".", ",") and w[-2:-1].isalnum() and w[-2] <= "ÿ" else (w, "") for w in new]
-    words = cores.missing([[a for a, _ in cut], ["", ".", ","]])
-    for at in range(0, len(words), 20_000):
-        part = words[at : at + 20_000]
-        for w, e in zip(part, tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            cores[w] = np.array(e.ids, "<u4").tobytes()
-    for w, (a, b) in zip(new, cut, strict=True):
-        cache[w] = cores[a] + cores[b]
-    return [b"".join([cache[w] for w in words]) for words in lists]
+
+    def whole(words: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for at in range(0, len(words), 20_000):
+            out += [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(words[at : at + 20_000], add_special_tokens=False)]
+        return out
+
+    def by_core(words: list[str]) -> list[bytes]:
+        cut = [(w[:-1], w[-1:]) if w[-1:] in (".", ",") and w[-2:-1].isalnum() and w[-2] <= "ÿ" else (w, "") for w in words]
+        first, last = cores.resolve([[a for a, _ in cut], [b for _, b in cut]], whole)
+        return [a + b for a, b in zip(first, last, strict=True)]
+
+    return [b"".join(x) for x in cache.resolve([lowered(t).replace("\n", " ").split(" ") for t in texts], by_core)]
 
 
 def pieces(docs: DataFrame, path: str, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
