@@ -103,8 +103,8 @@ def disclosing(docs: DataFrame, found: DataFrame, support: int = SUPPORT, disclo
     terms = likely.select("term").distinct()
     words = docs.select(F.explode(F.expr(f"regexp_extract_all(lower(__text), {quoted(TERM)}, 0)")).alias("term"))
     total = docs.agg(F.sum(F.length("__text")).alias("chars"))
-    # counted before they are joined: each task sends a word once, however common it is
-    used = words.groupBy("term").agg(F.count("*").alias("n_term")).join(terms, "term", "left_semi")
+    # counted before they are joined: each task sends a word once, however common it is; a semi-join would be moved below the count
+    used = words.groupBy("term").agg(F.count("*").alias("n_term")).join(terms, "term")
     windows = "greatest(chars / {0}, n_entity + n_term + 1)".format(2 * REACH)
     information = f"ln(n_both * {windows} / (n_entity * n_term)) / ln({windows} / n_entity)"
     # `total` is one row
