@@ -8,7 +8,8 @@ long lists, which are those of copies, are candidates with their neighbours. Can
 answers are derived from each other: a set is held as its difference from what most of the group has, and overlaps with
 all sets not yet reached follow from the overlaps of the differences. No pair is emitted that isn't a step of the
 search, so a group of thousands costs a forest. Large groups are split into blocks that share some members; after that
-only sets outside a group's main component meet the other blocks.
+only sets outside a group's main component meet the other blocks, and of these only such as have enough of their indexed
+tokens. They meet a block in parts, so that no task holds more than about two blocks at once, however large a group is.
 
 Two classes that share a 64-bit digest of their sets would be taken for one. Nulls: a null or blank text has no set and
 links with nothing; a null doc_id is carried along and never names a component, unless all of its members have none.
@@ -269,11 +270,11 @@ class Group:
 
 
 def search(percent: int, labelled: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """For applyInPandas over the sets of some blocks (group, block, k, tokens[, label, guest]), block by block."""
+    """For applyInPandas over the sets of some blocks (group, block, k, tokens[, part, label, guest]), block by block."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         edges: list[tuple[int, int]] = []
-        for _, part in pdf.groupby(["group", "block"], sort=False):
+        for _, part in pdf.groupby(["group", "block", "part"] if labelled else ["group", "block"], sort=False):
             part = part.sort_values("guest", ascending=False).drop_duplicates("k") if labelled else part.drop_duplicates("k")
             k = part["k"].to_numpy()
             group = Group([np.frombuffer(t, np.uint64) for t in part["tokens"]])
@@ -286,11 +287,24 @@ def search(percent: int, labelled: bool) -> Callable[[pd.DataFrame], pd.DataFram
 
 def searched(rows: DataFrame, percent: int, labelled: bool, batches: int) -> DataFrame:
     """Small blocks share a batch; what a task holds is some thousand sets and at most some blocks beyond them."""
-    dealt = rows.withColumn("batch", F.pmod(F.xxhash64("group", "block"), F.lit(batches)))
+    keys = ("group", "block", "part") if labelled else ("group", "block")
+    dealt = rows.withColumn("batch", F.pmod(F.xxhash64(*keys), F.lit(batches)))
     return dealt.groupBy("batch").applyInPandas(search(percent, labelled), "u long, v long")
 
 
-def group_links(candidates: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
+def visits(label: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(group, block, k) for each guest and each block that has as many of its indexed tokens as a link would share.
+
+    `label` has group, block, k and guest; `classes` has k, n and the indexed `tokens`.
+    """
+    entries = label.join(classes.select("k", "n", F.explode("tokens").alias("token")), "k")
+    held = entries.select("group", "token", "block").distinct()
+    need = f"least({MEET}, ceil({percent} * n / 100))"
+    met = entries.where("guest").select("group", "token", "k", "n").join(held, ["group", "token"])
+    return met.groupBy("group", "block", "k", "n").agg(F.count("*").alias("met")).where(f"met >= {need}").select("group", "block", "k")
+
+
+def group_links(candidates: DataFrame, bodies: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Links (u, v) that connect the sets as all their links would."""
     groups = written(components(candidates), "groups").withColumnsRenamed({"node": "k", "root": "group"})
     batches = max(1, groups.count() // BATCH)
@@ -309,13 +323,18 @@ def group_links(candidates: DataFrame, bodies: DataFrame, percent: int) -> DataF
     roots = components(first)
     label = held.where("blocks > 1").join(roots, held["k"] == roots["node"], "left").select("group", "block", "blocks", "k", "tokens", F.coalesce("root", "k").alias("label"))
     label = written(label, "labelled")
-    # per group the label of most members; all others are guests in every block
+    # per group the label of most members; all others are guests
     count = label.groupBy("group", "label").agg(F.count("*").alias("n"))
     main = count.groupBy("group").agg(F.max_by("label", "n").alias("main"), F.count("*").alias("labels")).where("labels > 1")
-    open_ = label.join(main, "group")
-    guests = open_.where("label <> main").select("group", every.alias("block"), "k", "tokens", "label", F.lit(True).alias("guest"))
-    rows = open_.select("group", "block", "k", "tokens", "label", F.lit(False).alias("guest")).unionByName(guests)
-    return first.unionByName(written(searched(rows, percent, True, batches), "links"))
+    open_ = label.join(main, "group").withColumn("guest", F.col("label") != F.col("main"))
+    calls = written(visits(open_.select("group", "block", "k", "guest").distinct(), classes, percent), "visits")
+    # a block's guests come in parts of about BLOCK, and its own sets are there in each of these
+    parts = calls.groupBy("group", "block").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    guests = calls.join(parts, ["group", "block"]).withColumn("part", F.pmod(F.xxhash64(F.col("k") + 2), F.col("parts")).cast("int"))
+    guests = guests.join(open_.where("guest").select("group", "k", "tokens", "label"), ["group", "k"]).select("group", "block", "part", "k", "tokens", "label", F.lit(True).alias("guest"))
+    hosts = open_.join(parts, ["group", "block"]).select("group", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "k", "tokens", "label", F.lit(False).alias("guest"))
+    rows = written(guests.unionByName(hosts), "met")
+    return first.unionByName(written(searched(rows, percent, True, max(1, rows.count() // BATCH)), "links"))
 
 
 def classified(docs: DataFrame, percent: int, words: int) -> tuple[DataFrame, DataFrame, object]:
@@ -335,7 +354,7 @@ def classified(docs: DataFrame, percent: int, words: int) -> tuple[DataFrame, Da
     reps = F.broadcast(reps) if reps.count() <= BROADCAST_ROWS else reps
     bodies = docs.join(reps, docs["doc_id"].eqNullSafe(reps["rep"]), "left_semi")
     bodies = sets(bodies, steps, words, percent, True).select("k", "tokens")
-    roots = written(components(group_links(found.select("u", "v").distinct(), bodies, percent)), "roots")
+    roots = written(components(group_links(found.select("u", "v").distinct(), bodies, classes, percent)), "roots")
     named = written(named.join(roots, named["k"] == roots["node"], "left").select("k", "rep", F.coalesce("root", "k").alias("root")), "named")
     names = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     return indexed.select("doc_id", "n", "k"), named.join(names, "root").select("k", "rep", "root", "component_id"), steps

@@ -78,6 +78,26 @@ def test_jaccard(docs, monkeypatch, percent, words, block):
     assert got == {i: (len(sets[i]), expected[i]) for i in sets}
 
 
+def test_jaccard_tasks_are_bounded_in_a_group_of_near_misses(spark, monkeypatch):
+    """A group of many blocks of sets of which hardly any link: no search holds more than two blocks, and the few links are found."""
+    monkeypatch.setattr(jaccard, "BLOCK", 40)
+    monkeypatch.setattr(jaccard, "SHARED", 3)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(k, " ".join([*base[: k % 58 + 1], f"only{k - (k % 100 == 59)}", *base[k % 58 + 2 :]])) for k in range(600)]
+    rows += [(10_000 + k, rows[k][1] + f" end{k}") for k in range(0, 600, 60)]
+    held, plain = [], jaccard.searched
+
+    def counted(df, *args):
+        keys = [c for c in ("group", "block", "part") if c in df.columns]
+        held.append(df.groupBy(*keys).count().agg(F.max("count")).first()[0])
+        return plain(df, *args)
+
+    monkeypatch.setattr(jaccard, "searched", counted)
+    got = {r.doc_id: r.component_id for r in jaccard.joined(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == groups(shingle_sets(rows, 3), 90)
+    assert len(held) == 2 and max(held) <= 2.8 * jaccard.BLOCK, held
+
+
 def test_jaccard_edges(spark, docs):
     assert jaccard.joined(docs.where("doc_id = 99999999")).count() == 0
     rows = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (None, "q r s t u v"), (2, "x y z x y z"), (3, None), (4, None), (4, "k l m n o p")], "doc_id long, text string").withColumn("rep", F.lit("c"))
