@@ -52,10 +52,10 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The old shards are those of the sources, which a hash dealt over 8 shards; the new ones are to be equal in bytes."""
+    """The old shards are those of the sources, which a hash dealt over 8 shards; the new ones are to be equal in bytes. Files of affected shards are rewritten."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     old = F.pmod(F.crc32(F.coalesce(F.col("source"), F.lit("")).cast("binary")), F.lit(8))
-    placed = resharding.resharded(resharding.sized(docs, old), 8)
+    placed = resharding.moved(resharding.resharded(resharding.sized(docs, old), 8))
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "old_shard"
     )

@@ -8,17 +8,19 @@ old shard; blocks are dealt out by window sums over a table of at most `MOST_BLO
 
 Nulls: a null text has no bytes and the checksum of none; a null doc_id or old shard is a value like any other.
 Repeated rows are placed each by itself, and slots among equal rows are as good as any. An empty table gives no rows.
-The query's columns are fixed; `rewrite` keeps all columns of its table and adds none.
+Each row travels with its placement, so `rewrite` writes every row of affected shards once, whatever its doc_id. The
+query's columns are fixed and come from the files it wrote; `rewrite` keeps all columns of its table and adds none.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import deque
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.common import written
+from foliant.llm.common import shared_dir, written
 
 #: Rows in a block, and the most blocks there are, which bounds what is broadcast (two numbers and a shard each).
 ROWS, MOST_BLOCKS = 500, 65_536
@@ -73,13 +75,13 @@ def capacities(total: int, shards: int) -> list[int]:
     return [total // shards + (k < total % shards) for k in range(shards)]
 
 
+#: SQL over `text`.
+SIZE, CHECKSUM = "cast(coalesce(octet_length(text), 0) + 1 AS bigint) AS size", "crc32(cast(coalesce(text, '') AS binary)) AS text_crc32"
+
+
 def sized(docs: DataFrame, old_shard: F.Column) -> DataFrame:
-    return docs.select(
-        "doc_id",
-        (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
-        F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
-        F.coalesce(old_shard.cast("int"), F.lit(-1)).alias("old_shard"),
-    )
+    """What placement needs of each row, and the row itself as __row."""
+    return docs.select("doc_id", F.expr(SIZE), F.expr(CHECKSUM), F.coalesce(old_shard.cast("int"), F.lit(-1)).alias("old_shard"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
 
 
 def resharded(rows: DataFrame, shards: int) -> DataFrame:
@@ -119,14 +121,42 @@ def affected(placed: DataFrame) -> DataFrame:
     return ends.groupBy("shard").agg(F.sum("size").alias("bytes"))
 
 
+def put(rows: DataFrame, shards: list[int], folder: str) -> None:
+    """Writes `rows`, whose shard is __shard, as the files folder/shard=K of all `shards`; other files there stay."""
+    names = [c for c in rows.columns if c != "__shard"]
+    if "shard" in [c.lower() for c in names]:  # the folder's name would hide a column of the rows
+        for shard in shards:
+            rows.where(F.col("__shard") == shard).drop("__shard").write.mode("overwrite").parquet(f"{folder}/shard={shard}")
+        return
+    # what a shard had goes, even if nothing comes
+    for shard in set(shards) - {r["__shard"] for r in rows.select("__shard").distinct().collect()}:
+        rows.where("false").drop("__shard").write.mode("overwrite").parquet(f"{folder}/shard={shard}")
+    rows.withColumnRenamed("__shard", "shard").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(folder)
+
+
 def rewrite(table: DataFrame, placed: DataFrame, folder: str) -> list[int]:
-    """Writes the rows of affected shards, to be found by doc_id, as folder/shard=K; other shards' files stay as they are.
+    """Writes the rows of affected shards as folder/shard=K; other shards' files stay as they are.
 
-    Returns the shards written. doc_id must tell the rows of `table` apart.
+    `placed` has the rows of `table`, as `sized` took them along. Returns the shards written.
     """
     shards = sorted(r["shard"] for r in affected(placed).select("shard").collect())
-    target = placed.where(F.col("shard").isin(shards)).select(F.col("doc_id").alias("__id"), F.col("shard").alias("__shard"))
-    rows = table.join(target, table["doc_id"].eqNullSafe(target["__id"])).drop("__id")
-    for shard in shards:
-        rows.where(F.col("__shard") == shard).drop("__shard").write.mode("overwrite").parquet(f"{folder}/shard={shard}")
+    if shards:
+        rows = placed.where(F.col("shard").isin(shards))
+        put(rows.select(*[F.col("__row")[c].alias(c) for c in table.columns], F.col("shard").alias("__shard")), shards, folder)
     return shards
+
+
+def moved(placed: DataFrame) -> DataFrame:
+    """Rewrites affected shards in a folder of its own: doc_id, size, text_crc32, old_shard, shard and slot of all rows, for rewritten shards as their files have them."""
+    spark = placed.sparkSession
+    names = ["doc_id", "size", "text_crc32", "old_shard", "shard", "slot"]
+    shards = sorted(r["shard"] for r in affected(placed).select("shard").collect())
+    stay = placed.where(~F.col("shard").isin(shards)).select(names)
+    if not shards:
+        return stay
+    folder = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
+    rows = placed.where(F.col("shard").isin(shards)).select("__row.*", "old_shard", "slot", F.col("shard").alias("__shard"))
+    put(rows, shards, folder)
+    schema = rows.drop("__shard").schema.add("shard", "integer")
+    files = spark.read.schema(schema).parquet(folder)
+    return files.selectExpr("doc_id", SIZE, CHECKSUM, "old_shard", "shard", "slot").unionByName(stay)

@@ -230,6 +230,22 @@ def test_rewrite_touches_only_affected_shards(spark, tmp_path):
     assert resharding.rewrite(docs, still, str(tmp_path / "none")) == []
 
 
+def test_rewrite_writes_every_row_once(spark, tmp_path):
+    """Repeated and null ids, in different old shards, one of which is given up."""
+    docs = spark.range(600).selectExpr("CASE WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN 7 ELSE id END AS doc_id", "repeat('x', cast(id % 5 AS int)) AS text", "id AS mark")
+    placed = resharding.resharded(resharding.sized(docs, F.when(F.col("mark") < 300, 0).otherwise(5)), 3)
+    folder = str(tmp_path / "out")
+    assert resharding.rewrite(docs, placed, folder) == [0, 1, 2, 5]
+    files = spark.read.schema("doc_id long, text string, mark long, shard int").parquet(folder)
+    key = ["doc_id", "text", "mark"]
+    assert collections.Counter(map(tuple, files.select(key).collect())) == collections.Counter(map(tuple, docs.select(key).collect()))
+    assert files.where("shard = 5").count() == 0
+    out = resharding.moved(placed)
+    names = ["doc_id", "size", "text_crc32", "old_shard", "shard"]
+    assert collections.Counter(map(tuple, out.select(names).collect())) == collections.Counter(map(tuple, placed.select(names).collect()))
+    assert any("/shards-" in f for f in out.inputFiles())
+
+
 def test_pipeline(spark):
     folder = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
