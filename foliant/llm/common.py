@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,6 +15,9 @@ from pyspark.sql import functions as F
 #: Characters of text that a Python task works on at a time.
 SLICE_CHARS = 2_000_000
 
+#: As many numbers are broadcast at most.
+BROADCAST_ROWS = 500_000
+
 #: The byte set that the contracts call white space.
 SPACES = "\\x20\\x09-\\x0D"
 
@@ -29,8 +33,10 @@ def own_dir(application: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. One is made up only where the session names none, as in tests."""
+    """The folder that driver and executors share. One is made up only in local mode, as in tests, and where the session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     return (found or own_dir(spark.sparkContext.applicationId)).rstrip("/")
 
 
@@ -42,6 +48,38 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that `written` made, once nothing reads them any more."""
+    for table in tables:
+        spark = table.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            if re.fullmatch(r"[a-z_]+-[0-9a-f]{32}", folder.rsplit("/", 1)[1]):
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def barrier(df: DataFrame, *columns: str) -> DataFrame:
+    """A projection that later ones aren't merged with, so that its expressions are evaluated once."""
+    return df.selectExpr(f"inline(array(struct({', '.join(columns)})))")
+
+
+def small(table: DataFrame, numbers: int = 1) -> DataFrame:
+    """Broadcasts a table of so many numbers or words a row as far as it is bounded."""
+    return F.broadcast(table) if table.count() * numbers <= BROADCAST_ROWS else table
+
+
+def fresh(columns: list[str], *stems: str) -> list[str]:
+    """Names made of the stems that none of `columns` has."""
+    held = {c.lower() for c in columns}
+    out = []
+    for stem in stems:
+        while stem in held:
+            stem = f"_{stem}"
+        held.add(stem)
+        out.append(stem)
+    return out
+
+
 def slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
     """Row ranges of at most SLICE_CHARS characters; a longer text has a range of its own."""
     start, size = 0, 0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import written
+from foliant.llm.common import discard, written
 
 
 def _near(edges: DataFrame) -> DataFrame:
@@ -40,7 +40,8 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
         if found["n"] == 0 or found == mark:
             break
         mark = found
-        now = written(_small_star(_large_star(now)).distinct(), "edges")
+        before, now = now, written(_small_star(_large_star(now)).distinct(), "edges")
+        discard(before)
     else:
         raise RuntimeError("components: the rounds didn't settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
