@@ -1,10 +1,12 @@
-"""Row checks that guard a call, as boolean expressions. A null where a value is required fails."""
+"""Row checks that guard a call, as boolean expressions. A null where a value is required fails; lengths are in UTF-16 units."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from foliant.functions.text import utf16_length
+
 UUID = r"\A[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[1-8][0-9a-fA-F]{3}-[89abAB][0-9a-fA-F]{3}-[0-9a-fA-F]{12}\z"
 
 
@@ -18,11 +20,11 @@ def is_uuid(x: Column) -> Column:
 
 def project_ok(name: Column, description: Column) -> Column:
     """A name of 1 to 100 characters; a description, if there is one, of at most 500."""
-    return sure(F.length(name).between(1, 100)) & (description.isNull() | (F.length(description) <= 500))
+    return sure(utf16_length(name).between(1, 100)) & (description.isNull() | (utf16_length(description) <= 500))
 
 
 def file_name_ok(name: Column) -> Column:
-    return sure(F.length(name).between(1, 255))
+    return sure(utf16_length(name).between(1, 255))
 
 
 def asset_ok(name: Column, kind: Column) -> Column:
@@ -39,8 +41,16 @@ def chat_ok(roles: Column, key: Column) -> Column:
     return sure((F.size(roles) >= 1) & known & (F.length(key) > 0))
 
 
+# Fixed value: the model that is asked where a call names none.
+DEFAULT_MODEL = "qwen-qwq-32b"
+
+
+def model_or_default(model: Column) -> Column:
+    return F.coalesce(model, F.lit(DEFAULT_MODEL))
+
+
 def password_ok(x: Column) -> Column:
-    return sure(F.length(x) >= 8)
+    return sure(utf16_length(x) >= 8)
 
 
 def with_defaults(name: Column, kind: Column, content: Column) -> Column:

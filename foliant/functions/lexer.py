@@ -70,11 +70,20 @@ def tokens(text: str) -> Iterator[tuple[int, int, int, str]]:
 def tokenised(docs: DataFrame, key: str, text: str) -> DataFrame:
     """A row for each token: key, line, start, end, kind."""
 
+    def batch_of(rows: list) -> pa.RecordBatch:
+        k, line, start, end, kind = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), *[pa.array(c, pa.int32()) for c in (line, start, end)], pa.array(kind, pa.string())], names=[key, "line", "start", "end", "kind"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list = []
         for batch in batches:
             for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = list(tokens(x or ""))
-                columns = list(zip(*rows, strict=True)) or [[], [], [], []]
-                yield pa.RecordBatch.from_arrays([pa.array([k] * len(rows), pa.int64()), *[pa.array(c, pa.int32()) for c in columns[:3]], pa.array(columns[3], pa.string())], names=[key, "line", "start", "end", "kind"])
+                for token in tokens(x or ""):
+                    rows.append((k, *token))
+                    if len(rows) == 20_000:
+                        yield batch_of(rows)
+                        rows = []
+        if rows:
+            yield batch_of(rows)
 
     return docs.select(key, text).mapInArrow(run, f"{key} long, line int, start int, end int, kind string")

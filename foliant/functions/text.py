@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 # The white space that trimming and \s know, line terminators, and the fence of a code block.
 SPACE = r"[\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
+SPACES = "\t\n\x0b\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 NOT_LINE_END = r"[^\n\r\u2028\u2029]"
 FENCE = "```"
 BLOCK = FENCE + r"(?:latex)?" + SPACE + r"*\n([\s\S]*?)" + FENCE
@@ -27,7 +28,7 @@ def token_estimate(x: Column) -> Column:
 
 
 def trim_space(x: Column) -> Column:
-    return F.regexp_replace(x, rf"\A{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(x, F.lit(SPACES))
 
 
 def strip_comments(x: Column) -> Column:
@@ -175,7 +176,7 @@ def route_decision(route: Column, authenticated: Column) -> Column:
 
 
 def asset_url(project: Column, name: Column) -> Column:
-    return F.concat_ws("/", F.lit("/uploads"), project, name)
+    return F.concat(F.lit("/uploads/"), project.cast("string"), F.lit("/"), name)
 
 
 def header_start(header: Column) -> Column:

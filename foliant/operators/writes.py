@@ -1,4 +1,4 @@
-"""Writes as pure transforms: a table and a change in, the new table out. `returning` gives what changed."""
+"""Writes as pure transforms: a table and a change in, the new table out. `returning` gives the rows that an update sets."""
 
 from __future__ import annotations
 
@@ -47,6 +47,7 @@ def cascade(parents: DataFrame, key: str, gone: DataFrame, *children: tuple[Data
     return [t.join(keys, t[c] == keys["__key"], "left_anti") for t, c in ((parents, key), *children)]
 
 
-def returning(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Rows of the new table that the old one hasn't."""
-    return new.exceptAll(old)
+def returning(table: DataFrame, hit: Column, **values: Column) -> DataFrame:
+    """The rows that `update` sets, as they are afterwards; a filter and a projection, so that it reaches the scan."""
+    rows = table.where(hit)
+    return rows.select(*[values[c].alias(c) if c in values else F.col(c) for c in table.columns])

@@ -26,9 +26,36 @@ def manifest(main: DataFrame, images: DataFrame, files: DataFrame, key: str, nam
     return rows.where("__n = 1").drop("__n", "__rank")
 
 
-def compiled(manifests: DataFrame, compiler: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
-    """Calls a compiler on batches of gathered manifests; it is a parameter, as there is none here."""
-    return manifests.mapInPandas(compiler, schema)
+# What a compilation may take, in seconds, and how much it may say, in bytes.
+TIME_LIMIT, MOST_OUTPUT = 60, 10 * 1024 * 1024
+
+
+def compiled(manifests: DataFrame, key: str, name: str, data: str, compiler: Callable[[dict[str, str], int], tuple[bytes | None, str, str, str | None]]) -> DataFrame:
+    """key, pdf, logs and success of each manifest, gathered by its key.
+
+    The compiler is a parameter, as there is none here: it gets files by name and the time limit, and returns the
+    product, its two outputs and an error message. What it raises, and outputs that are too long, are errors as well.
+    """
+    kind = manifests.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for files in batch["__files"]:
+                try:
+                    pdf, stdout, stderr, message = compiler({f["name"]: f["data"] for f in files}, TIME_LIMIT)
+                    if max(len(stdout), len(stderr)) > MOST_OUTPUT:
+                        stdout, stderr, message = stdout[:MOST_OUTPUT], stderr[:MOST_OUTPUT], message or "the output is too long"
+                except Exception as e:  # a failed compilation is a row of the result
+                    pdf, stdout, stderr, message = None, "", "", str(e)
+                out.append((pdf, stdout, stderr, message))
+            rows = pd.DataFrame(out, columns=["pdf", "stdout", "stderr", "message"])
+            rows.insert(0, key, batch[key].to_numpy())
+            yield rows
+
+    held = manifests.groupBy(key).agg(F.collect_list(F.struct(F.col(name).alias("name"), F.col(data).alias("data"))).alias("__files"))
+    rows = held.mapInPandas(run, f"`{key}` {kind}, pdf binary, stdout string, stderr string, message string")
+    return rows.select(key, outcome(F.col("pdf"), F.col("stdout"), F.col("stderr"), F.col("message")).alias("__o")).select(key, "__o.*")
 
 
 def outcome(pdf: Column, stdout: Column, stderr: Column, message: Column) -> Column:

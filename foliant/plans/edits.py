@@ -20,10 +20,10 @@ def route(tokens: Column) -> Column:
     return F.when(tokens <= t.SINGLE_CALL_TOKENS, "single").otherwise("parallel")
 
 
-def scatter(split: DataFrame, key: str) -> DataFrame:
-    """A task for each chunk: key, chunk_id from 1, total, chunk, model."""
-    rows = split.select(key, F.size("chunks").alias("total"), F.posexplode("chunks").alias("__at", "chunk"))
-    return rows.select(key, (F.col("__at") + 1).alias("chunk_id"), "total", "chunk", in_turn(F.col("__at"), WORKER_MODELS).alias("model"))
+def scatter(split: DataFrame, key: str, *carried: str) -> DataFrame:
+    """A task for each chunk: key, what is carried along, chunk_id from 1, total, chunk, model."""
+    rows = split.select(key, *carried, F.size("chunks").alias("total"), F.posexplode("chunks").alias("__at", "chunk"))
+    return rows.select(key, *carried, (F.col("__at") + 1).alias("chunk_id"), "total", "chunk", in_turn(F.col("__at"), WORKER_MODELS).alias("model"))
 
 
 def replied_block(reply: Column) -> Column:
@@ -38,18 +38,22 @@ def chosen(chunk: Column, found: Column, summary: Column) -> Column:
     return F.when(same | found.isNull() | F.coalesce(short, F.lit(False)), chunk).otherwise(found)
 
 
-def gather(tasks: DataFrame, replies: DataFrame, key: str) -> DataFrame:
-    """key, chunks in the order of the ids that replies name (else the tasks'), and summaries."""
+def with_replies(tasks: DataFrame, replies: DataFrame, key: str) -> DataFrame:
+    """Tasks with the reply to each, null where there is none."""
     held = replies.select(F.col(key).alias("__key"), F.col("chunk_id").alias("__chunk"), "reply")
-    rows = tasks.join(held, (tasks[key] == held["__key"]) & (tasks["chunk_id"] == held["__chunk"]), "left")
+    return tasks.join(held, (tasks[key] == held["__key"]) & (tasks["chunk_id"] == held["__chunk"]), "left").drop("__key", "__chunk")
+
+
+def gather(rows: DataFrame, key: str, *carried: str) -> DataFrame:
+    """From tasks with their replies: key, what is carried along, chunks in the order of the ids that replies name (else the tasks'), and summaries."""
     # columns of their own, so that each pattern runs once
-    rows = rows.select(key, "chunk_id", "chunk", t.chunk_id(F.col("reply")).alias("__named"), replied_block(F.col("reply")).alias("__found"), t.changes_summary(F.col("reply")).alias("__summary"))
+    rows = rows.select(key, *carried, "chunk_id", "chunk", t.chunk_id(F.col("reply")).alias("__named"), replied_block(F.col("reply")).alias("__found"), t.changes_summary(F.col("reply")).alias("__summary"))
     line = F.when(F.col("__summary") != "", F.concat(F.lit("**Agent "), F.col("chunk_id").cast("string"), F.lit(":** "), F.col("__summary")))
     # where no id is named the task's stands in, and the task's settles ties
     text = chosen(F.col("chunk"), F.col("__found"), F.col("__summary"))
     item = F.struct(F.coalesce("__named", "chunk_id").alias("a"), F.col("chunk_id").alias("b"), text.alias("text"), line.alias("line"))
-    held = rows.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("__items"))
-    return held.select(key, F.transform("__items", lambda x: x["text"]).alias("chunks"), F.filter(F.transform("__items", lambda x: x["line"]), lambda x: x.isNotNull()).alias("summaries"))
+    held = rows.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("__items"), *[F.any_value(c).alias(c) for c in carried])
+    return held.select(key, *carried, F.transform("__items", lambda x: x["text"]).alias("chunks"), F.filter(F.transform("__items", lambda x: x["line"]), lambda x: x.isNotNull()).alias("summaries"))
 
 
 def assembled(preamble: Column, chunks: Column) -> Column:

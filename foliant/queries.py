@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import checks as v
@@ -20,8 +20,8 @@ from foliant.functions.snippets import snippets
 from foliant.operators import collections as c
 from foliant.operators import reads, writes
 from foliant.plans import compiling, edits, splitter
-from foliant.session import prepared
-from foliant.sources.files import refused, table, to_write, without_deleted
+from foliant.session import new_folder, prepared
+from foliant.sources.files import assets_as_base64, refused, table, to_write, without_deleted, write_files
 from foliant.streaming import debounce
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -181,10 +181,9 @@ def w9_delete(read):
     return writes.delete(read("supplier"), F.col("s_suppkey") == 9)
 
 
-@query("SELECT c_custkey, 'changed' AS c_mktsegment FROM customer WHERE c_nationkey = 4 AND c_mktsegment <> 'changed'")
+@query("SELECT c_custkey, 'changed' AS c_mktsegment FROM customer WHERE c_nationkey = 4")
 def w_returning(read):
-    old = read("customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    return writes.returning(old, writes.update(old, F.col("c_nationkey") == 4, c_mktsegment=F.lit("changed"))).drop("c_nationkey")
+    return writes.returning(read("customer").select("c_custkey", "c_nationkey", "c_mktsegment"), F.col("c_nationkey") == 4, c_mktsegment=F.lit("changed")).drop("c_nationkey")
 
 
 # ---- checks
@@ -192,12 +191,15 @@ def w_returning(read):
 
 @query("""
 SELECT doc_id, length(text) BETWEEN 1 AND 100 AND length(source) <= 500 AS project_ok, length(lang || source) BETWEEN 1 AND 255 AS file_ok, length(source) >= 1 AND lang IN ('image', 'file') AS asset_ok, length(text) > 0 AS source_ok,
-length(source) >= 8 AS password_ok, regexp_matches(md5(text), '^x') AS uuid_ok FROM documents""")
+length(source) >= 8 AS password_ok, doc_id % 2 = 0 AS uuid_ok, CASE WHEN doc_id % 3 = 0 THEN 'tex' ELSE lang END AS kind, CASE WHEN doc_id % 4 = 0 THEN '' ELSE source END AS content, CASE WHEN doc_id % 5 = 0 THEN 'qwen-qwq-32b' ELSE lang END AS model FROM documents""")
 def v_checks(read):
     text, lang, source = F.col("text"), F.col("lang"), F.col("source")
+    # a hash in the form of an identifier, with a wrong digit in every other row
+    uuid = F.expr(r"regexp_replace(md5(cast(text AS binary)), '^(.{8})(.{4}).(.{3}).(.{3})(.{12})$', concat('$1-$2-', if(doc_id % 2 = 0, '4', '0'), '$3-a$4-$5'))")
+    fields = v.with_defaults(source, F.expr("CASE WHEN doc_id % 3 <> 0 THEN lang END"), F.expr("CASE WHEN doc_id % 4 <> 0 THEN source END"))
     return read("documents").select(
         "doc_id", v.project_ok(text, source).alias("project_ok"), v.file_name_ok(F.concat(lang, source)).alias("file_ok"), v.asset_ok(source, lang).alias("asset_ok"), v.source_ok(text).alias("source_ok"),
-        v.password_ok(source).alias("password_ok"), v.is_uuid(F.md5(text.cast("binary"))).alias("uuid_ok"),
+        v.password_ok(source).alias("password_ok"), v.is_uuid(uuid).alias("uuid_ok"), fields["type"].alias("kind"), fields["content"].alias("content"), v.model_or_default(F.expr("CASE WHEN doc_id % 5 <> 0 THEN lang END")).alias("model"),
     )
 
 
@@ -374,9 +376,11 @@ def t32_snippets(read):
 # ---- splitting
 
 #: Texts with an opening line, environments and blank lines, composed of the documents' lines.
-LATEX = r"""
-SELECT doc_id, array_join(concat(CASE WHEN doc_id % 3 = 0 THEN array('\\documentclass{article}', '\\begin{document}') ELSE array() END,
-transform(split(text, '\n', -1), (l, i) -> CASE WHEN (i + doc_id) % 11 = 3 THEN concat('\\begin{figure}', l) WHEN (i + doc_id) % 11 = 6 THEN concat(l, '\\end{figure}') WHEN (i + doc_id) % 17 = 2 THEN '\\begin{itemize}\\end{itemize}' WHEN (i + doc_id) % 23 = 5 THEN '\\end{table*}' WHEN (i + doc_id) % 29 = 7 THEN '\\begin{center}' ELSE l END)), '\n') AS code FROM documents"""
+LATEX = [
+    "doc_id",
+    r"""array_join(concat(CASE WHEN doc_id % 3 = 0 THEN array('\\documentclass{article}', '\\begin{document}') ELSE array() END,
+transform(split(text, '\n', -1), (l, i) -> CASE WHEN (i + doc_id) % 11 = 3 THEN concat('\\begin{figure}', l) WHEN (i + doc_id) % 11 = 6 THEN concat(l, '\\end{figure}') WHEN (i + doc_id) % 17 = 2 THEN '\\begin{itemize}\\end{itemize}' WHEN (i + doc_id) % 23 = 5 THEN '\\end{table*}' WHEN (i + doc_id) % 29 = 7 THEN '\\begin{center}' ELSE l END)), '\n') AS code""",
+]
 
 LINES_SQL = r"""
 WITH raw AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
@@ -385,9 +389,16 @@ made AS (SELECT doc_id, i, CASE WHEN (i + doc_id) % 11 = 3 THEN '\begin{figure}'
 """
 
 
+def counted_files(files: dict[str, str], limit: int) -> tuple[bytes | None, str, str, str | None]:
+    """In place of a compiler."""
+    if "main.tex" not in files:
+        raise ValueError("no main file")
+    return f"%PDF {len(files)}".encode(), f"files: {len(files)}", "", None
+
+
 def latex(read) -> DataFrame:
-    read("documents").createOrReplaceTempView("foliant_documents")
-    return read("documents").sparkSession.sql(LATEX.replace("FROM documents", "FROM foliant_documents"))
+    docs = read("documents")
+    return docs.selectExpr(*LATEX)
 
 
 @query("""
@@ -406,18 +417,35 @@ def d4_d5_safe_lines(read):
     return splitter.safe_lines(splitter.parts(latex(read), "doc_id", "code"), "doc_id")
 
 
-@query()
+#: The same bodies with their safe lines, cut one chunk after the other, and the chunks that aren't blank. Only figures and itemizes are ever open in them.
+CHUNKS_SQL = LINES_SQL.replace("WITH raw", "WITH RECURSIVE raw") + r"""
+moves AS (SELECT doc_id, i, line, (regexp_extract(line, '\\begin\{([^}]+)\}', 1) = 'figure')::INTEGER - (regexp_extract(line, '\\end\{([^}]+)\}', 1) = 'figure')::INTEGER AS d,
+  (regexp_extract(line, '\\begin\{([^}]+)\}', 1) = 'itemize')::INTEGER - (regexp_extract(line, '\\end\{([^}]+)\}', 1) = 'itemize')::INTEGER AS e FROM made),
+sums AS (SELECT doc_id, i, line, sum(d) OVER w AS s, sum(e) OVER w AS r FROM moves WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+judged AS (SELECT doc_id, i, line, s - least(0, min(s) OVER w) = 0 AND r - least(0, min(r) OVER w) = 0 AS safe FROM sums WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+body AS (SELECT doc_id, count(*) AS n, list(line ORDER BY i) AS lines, list(i ORDER BY i) FILTER (WHERE safe) AS safe FROM judged GROUP BY doc_id),
+cut AS (SELECT doc_id, 0 AS k, 0::BIGINT AS last, NULL::BIGINT AS best FROM body WHERE n >= 12 UNION ALL
+  SELECT doc_id, k + 1, best + 1, best FROM (SELECT doc_id, k, greatest(coalesce(list_sort(list_transform(list_filter(safe, lambda s: s > last), lambda s: {'d': abs(s - last - ceil(n / 6.0)), 's': s}))[1].s, last + ceil(n / 6.0)::BIGINT), last + 1) AS best FROM cut JOIN body USING (doc_id) WHERE k < 5 AND last < n)),
+ends AS (SELECT doc_id, list(best ORDER BY k) AS ends FROM cut WHERE k > 0 GROUP BY doc_id),
+bounds AS (SELECT doc_id, n, lines, list_concat([-1], coalesce(ends, []), [n - 1]) AS b FROM body LEFT JOIN ends USING (doc_id)),
+pieces AS (SELECT doc_id, n, list_transform(range(1, len(b)), lambda k: array_to_string(list_slice(lines, b[k] + 2, b[k + 1] + 1), chr(10))) AS c FROM bounds),
+chunked AS (SELECT doc_id, CASE WHEN n < 12 THEN c ELSE list_filter(c, lambda x: regexp_matches(x, '[^ \t\n\r]')) END AS chunks FROM pieces)
+"""
+
+
+@query(CHUNKS_SQL + r"SELECT doc_id, len(chunks)::INTEGER AS n_chunks, md5(array_to_string(chunks, '<cut>')) AS chunks_md5, CASE WHEN doc_id % 3 = 0 THEN 40 ELSE 0 END AS preamble_chars FROM chunked")
 def d7_d8_chunks(read):
     held = splitter.split(latex(read), "doc_id", "code", 6)
-    return held.select("doc_id", F.size("chunks").alias("n_chunks"), F.md5(F.array_join("chunks", "\x00").cast("binary")).alias("chunks_md5"), F.length("preamble").alias("preamble_chars"))
+    return held.select("doc_id", F.size("chunks").alias("n_chunks"), F.md5(F.array_join("chunks", "<cut>").cast("binary")).alias("chunks_md5"), F.length("preamble").alias("preamble_chars"))
 
 
-# the documents as they are have no environments, so every line is safe and cuts follow from the number of lines alone
-@query("""
-SELECT doc_id, CASE WHEN n < 8 THEN 1 ELSE ceil(n / (ceil(n / 4.0) + 1.0)) END::INTEGER AS n_chunks FROM (SELECT doc_id, len(string_split(text, chr(10))) AS n FROM documents) WHERE n < 40""")
+# the documents as they are have no environments, so every line is safe; cuts follow from the number of lines, and blank chunks go
+@query(r"""
+WITH held AS (SELECT doc_id, string_split(text, chr(10)) AS l, len(string_split(text, chr(10))) AS n FROM documents),
+pieces AS (SELECT doc_id, n, list_transform(range(0, 4), lambda k: array_to_string(CASE WHEN k < 3 THEN list_slice(l, k * (ceil(n / 4.0)::BIGINT + 1) + 1, (k + 1) * (ceil(n / 4.0)::BIGINT + 1)) ELSE list_slice(l, 3 * (ceil(n / 4.0)::BIGINT + 1) + 1, n) END, chr(10))) AS c FROM held)
+SELECT doc_id, CASE WHEN n < 8 THEN 1 ELSE len(list_filter(c, lambda x: regexp_matches(x, '[^ \t\n\r]'))) END::INTEGER AS n_chunks FROM pieces""")
 def d8_plain_counts(read):
-    rows = read("documents").select("doc_id", F.transform(splitter.lines(F.col("text")), lambda x: F.lit("line")).alias("l")).where(F.size("l") < 40)
-    return splitter.split(rows.select("doc_id", F.array_join("l", "\n").alias("text")), "doc_id", "text", 4).select("doc_id", F.size("chunks").alias("n_chunks"))
+    return splitter.split(read("documents"), "doc_id", "text", 4).select("doc_id", F.size("chunks").alias("n_chunks"))
 
 
 # ---- dataflows
@@ -428,17 +456,20 @@ def p1_route(read):
     return read("documents").select("doc_id", edits.route(t.token_estimate(t.preprocess(F.col("text")))).alias("route"))
 
 
-@query()
+@query(CHUNKS_SQL.rstrip().rstrip(",") + r""",
+tasks AS (SELECT doc_id, unnest(chunks) AS chunk, generate_subscripts(chunks, 1) AS id, len(chunks) AS total FROM chunked),
+taken AS (SELECT doc_id, total, id, CASE WHEN id % 4 = 1 THEN rtrim('edited ' || chunk, ' ' || chr(9) || chr(10) || chr(13)) WHEN id % 4 = 2 THEN CASE WHEN length(chunk) > 500 THEN chunk ELSE 'short' END ELSE chunk END AS text,
+  CASE id % 4 WHEN 0 THEN '**Agent ' || id || ':** no change' WHEN 1 THEN '**Agent ' || id || ':** edited' END AS line FROM tasks),
+merged AS (SELECT doc_id, max(total) AS total, string_agg(text, chr(10) ORDER BY id) AS body, string_agg(line, chr(10) ORDER BY id) AS said FROM taken GROUP BY doc_id)
+SELECT doc_id, md5(CASE WHEN doc_id % 3 = 0 THEN '\documentclass{article}' || chr(10) || '\begin{document}' || chr(10) || body || chr(10) || '\end{document}' || chr(10) ELSE body END) AS merged_md5,
+'✅ **Parallel editing complete!**' || chr(10) || chr(10) || '📊 Document: ~7 tokens → ' || total || ' chunks' || chr(10) || '🤖 ' || total || ' agents completed successfully' || chr(10) || chr(10) || '**Changes Summary:**' || CASE WHEN said IS NULL THEN '' ELSE chr(10) || said END AS summary FROM merged""")
 def p2_p8_parallel_edit(read):
-    """Scatter, replies composed of the chunks, gather, assemble."""
-    docs = latex(read)
-    held = splitter.split(docs, "doc_id", "code", edits.TARGET_CHUNKS)
-    tasks = edits.scatter(held, "doc_id")
-    form = "CASE chunk_id % 4 WHEN 0 THEN 'CHANGES_SUMMARY: no change' WHEN 1 THEN concat('CHUNK_ID: ', chunk_id, '\\nUPDATED_LATEX:\\n```latex\\n', upper(chunk), '\\n```\\nCHANGES_SUMMARY: upper') WHEN 2 THEN '```\\nshort\\n```' END"
-    merged = edits.gather(tasks, tasks.select("doc_id", "chunk_id", F.expr(form).alias("reply")).where("reply IS NOT NULL"), "doc_id")
-    rows = held.select("doc_id", "preamble").join(merged, "doc_id")
+    """Scatter, replies composed of the chunks, gather, assemble. The replies travel with their tasks, so that documents are split once."""
+    tasks = edits.scatter(splitter.split(latex(read), "doc_id", "code", edits.TARGET_CHUNKS), "doc_id", "preamble")
+    form = "CASE chunk_id % 4 WHEN 0 THEN 'CHANGES_SUMMARY: no change' WHEN 1 THEN concat('CHUNK_ID: ', chunk_id, '\\nUPDATED_LATEX:\\n```latex\\nedited ', chunk, '\\n```\\nCHANGES_SUMMARY: edited') WHEN 2 THEN '```\\nshort\\n```' END"
+    merged = edits.gather(tasks.withColumn("reply", F.expr(form)), "doc_id", "preamble", "total")
     whole = edits.assembled(F.col("preamble"), F.col("chunks"))
-    return rows.select("doc_id", F.md5(whole.cast("binary")).alias("merged_md5"), F.array_join("summaries", "|").alias("summaries"))
+    return merged.select("doc_id", F.md5(whole.cast("binary")).alias("merged_md5"), edits.summary(F.lit(7), F.col("total"), F.col("total"), F.col("summaries")).alias("summary"))
 
 
 @query(rf"""
@@ -518,6 +549,25 @@ def snk3_deleted(read):
     return without_deleted(read("supplier"), "s_suppkey", gone).select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
 
 
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 7 = 0 THEN '' ELSE base64(encode(s_name)) END AS data FROM supplier")
+def src3_src5_snk1_assets(read):
+    """Files are decoded and written below a shared folder, then read back for their metadata; some were never written."""
+    assets = read("supplier").select("s_suppkey", F.concat("s_nationkey", F.lit("/"), "s_suppkey", F.lit(".txt")).alias("path"), t.encoded(F.col("s_name")).alias("upload"))
+    folder = new_folder(assets.sparkSession, "assets")
+    write_files(to_write(assets.where("s_suppkey % 7 <> 0"), "path", "upload"), folder).agg(F.sum("bytes")).collect()
+    return assets_as_base64(assets.select("s_suppkey", "path"), "path", folder).select("s_suppkey", "data")
+
+
+@query("""
+SELECT c_nationkey, CASE WHEN c_nationkey % 5 <> 0 THEN base64(encode('%PDF ' || n)) END AS pdf, CASE WHEN c_nationkey % 5 = 0 THEN 'no main file' ELSE 'files: ' || n END AS logs, c_nationkey % 5 <> 0 AS success
+FROM (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1)""")
+def p11_compiled(read):
+    """A stand-in for the compiler counts the files and fails where there is no main file."""
+    files = read("customer").select("c_nationkey", F.expr("CASE WHEN c_nationkey % 5 <> 0 AND c_custkey = min(c_custkey) OVER (PARTITION BY c_nationkey) THEN 'main.tex' ELSE c_name END").alias("name"), F.col("c_mktsegment").alias("data"))
+    rows = compiling.compiled(files, "c_nationkey", "name", "data", counted_files)
+    return rows.select("c_nationkey", F.base64("pdf").alias("pdf"), "logs", "success")
+
+
 # ---- time
 
 
@@ -531,12 +581,9 @@ def s1_debounce(read):
 
 @query("""
 SELECT user_id, max_by(s, event_id) AS status, min_by(s, event_id) = 'pending' AND bool_and(p IS NULL OR (p = 'pending' AND s IN ('done', 'error')) OR (p = 'done' AND s IN ('applied', 'rejected'))) AS valid
-FROM (SELECT user_id, event_id, s, lag(s) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM (SELECT user_id, event_id, ['pending', 'done', 'error', 'applied', 'rejected'][(least(row_number() OVER (PARTITION BY user_id ORDER BY event_id), 5) - (user_id % 2) * 0)::INTEGER] AS s FROM events)
-QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) <= user_id % 4 + 1) GROUP BY user_id""")
+FROM (SELECT *, lag(s) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM (SELECT user_id, event_id, CASE row_number() OVER (PARTITION BY user_id ORDER BY event_id) WHEN 1 THEN 'pending' WHEN 2 THEN CASE WHEN user_id % 3 = 0 THEN 'error' ELSE 'done' END ELSE CASE WHEN event_id % 2 = 0 THEN 'applied' ELSE 'rejected' END END AS s FROM events)) GROUP BY user_id""")
 def s2_states(read):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    rows = read("events").withColumn("n", F.row_number().over(w)).where("n <= user_id % 4 + 1")
-    rows = rows.withColumn("s", F.expr("element_at(array('pending', 'done', 'error', 'applied', 'rejected'), cast(least(n, 5) AS int))"))
-    return debounce.final_states(rows, "user_id", "event_id", "s")
+    """All events of a user are the moves of one edit: pending, done or error, then applied or rejected, which ends it."""
+    at = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    state = F.when(at == 1, "pending").when(at == 2, F.when(F.col("user_id") % 3 == 0, "error").otherwise("done")).otherwise(F.when(F.col("event_id") % 2 == 0, "applied").otherwise("rejected"))
+    return debounce.final_states(read("events").select("user_id", "event_id", state.alias("s")), "user_id", "event_id", "s")

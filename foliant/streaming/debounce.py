@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 # Fixed value: the pause after which an edit is saved.
 PAUSE = "2 seconds"
@@ -30,14 +34,32 @@ def stream_of(edits: DataFrame, ts: str, late: str) -> DataFrame:
 MOVES = {"pending": ["done", "error"], "done": ["applied", "rejected"]}
 
 
+def allowed(before: Column, status: Column) -> Column:
+    """Whether an edit may go from one state to another; from none, only to pending."""
+    moves = F.create_map(*[x for a, b in MOVES.items() for x in (F.lit(a), F.array(*map(F.lit, b)))])
+    return F.coalesce(F.when(before.isNull(), status == "pending").otherwise(F.array_contains(F.try_element_at(moves, before), status)), F.lit(False))
+
+
 def final_states(events: DataFrame, edit: str, order: str, status: str) -> DataFrame:
-    """Each edit's last state and whether all its moves are allowed ones, beginning with pending."""
-    steps = F.transform(F.array_sort(F.collect_list(F.struct(order, status))), lambda x: x[status])
-    allowed = F.create_map(*[x for a, b in MOVES.items() for x in (F.lit(a), F.array(*map(F.lit, b)))])
+    """Each edit's last state and whether all its moves are allowed ones, beginning with pending. A null state is none."""
+    known = F.coalesce(F.col(status), F.lit(""))
+    steps = events.select(edit, order, known.alias("__s")).withColumn("__before", F.lag("__s").over(Window.partitionBy(edit).orderBy(order, "__s")))
+    held = steps.groupBy(edit).agg(F.max_by("__s", F.struct(order, "__s")).alias("__last"), F.every(allowed(F.col("__before"), F.col("__s"))).alias("valid"))
+    return held.select(edit, F.nullif("__last", F.lit("")).alias("status"), "valid")
+
+
+def state_stream(events: DataFrame, edit: str, order: str, status: str) -> DataFrame:
+    """The same over a stream: after each batch the state of the edits that it touched, for update mode.
+
+    What is kept of an edit is its last state and whether its moves were allowed; a batch's events are taken in order.
+    """
+    kind = events.schema[edit].dataType.simpleString()
 
-    def ok(s: Column) -> Column:
-        moves = F.zip_with(F.slice(s, F.lit(1), F.size(s) - 1), F.slice(s, F.lit(2), F.size(s) - 1), lambda a, b: F.coalesce(F.array_contains(F.try_element_at(allowed, a), b), F.lit(False)))
-        return (F.get(s, F.lit(0)) == "pending") & F.forall(moves, lambda m: m)
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, valid = state.get if state.exists else ("", True)
+        for s in pd.concat(list(batches)).fillna({status: ""}).sort_values([order, status])[status]:
+            valid, last = valid and s in (MOVES.get(last, []) if last or state.exists else ["pending"]), s
+            state.update((last, valid))
+        yield pd.DataFrame({edit: [key[0]], "status": [last or None], "valid": [valid]})
 
-    held = events.groupBy(edit).agg(steps.alias("__s"))
-    return held.select(edit, F.element_at("__s", -1).alias("status"), ok(F.col("__s")).alias("valid"))
+    return events.select(edit, order, status).groupBy(edit).applyInPandasWithState(run, f"`{edit}` {kind}, status string, valid boolean", "last string, valid boolean", "update", GroupStateTimeout.NoTimeout)

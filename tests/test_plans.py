@@ -97,3 +97,21 @@ def test_filters_reach_both_scans(spark, tmp_path):
     parents, kids = spark.read.parquet(str(tmp_path / "p")), spark.read.parquet(str(tmp_path / "c"))
     plan = reads.nested(parents.where("k = 1"), "k", kids=(kids, "fk"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("EqualTo(k,1)") == 1 and plan.count("EqualTo(fk,1)") == 1
+
+
+def test_states_over_a_stream(spark, tmp_path):
+    """Two batches; an edit's state is carried over, and a move that isn't allowed stays on record."""
+    from foliant.streaming import debounce
+
+    schema = "edit long, seq long, status string"
+    parts = [[(1, 1, "pending"), (2, 1, "done"), (3, 1, "pending")], [(1, 3, "applied"), (1, 2, "done"), (3, 2, "applied")]]
+    for k, rows in enumerate(parts):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"b{k}"))
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    run = debounce.state_stream(events, "edit", "seq", "status").writeStream.format("memory").queryName("edit_states").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    got = {(r.edit, r.status, r.valid) for r in spark.table("edit_states").collect()}
+    whole = spark.createDataFrame(sum(parts, []), schema)
+    final = {(r.edit, r.status, r.valid) for r in debounce.final_states(whole, "edit", "seq", "status").collect()}
+    assert final == {(1, "applied", True), (2, "done", False), (3, "applied", False)}
+    assert final <= got
