@@ -108,11 +108,11 @@ def by_slices(work: Callable[[list, list[str]], pa.RecordBatch]) -> Callable[[It
 
 
 class Cache(dict):
-    """A dict for what distinct words come to; it is emptied when it would hold more than `most` entries, so that memory stays bounded."""
+    """A dict for what distinct words come to; it is emptied when it would hold more than `most` entries or 32 characters for each, so that memory stays bounded."""
 
     def __init__(self, most: int):
         super().__init__()
-        self.most = most
+        self.most, self.chars = most, 0
 
     def resolve(self, lists: list[list], make: Callable[[list], list]) -> list[list]:
         """The values of all words of `lists`; `make` gives those of the distinct words not held yet."""
@@ -123,7 +123,11 @@ class Cache(dict):
         for words, values, at in zip(lists, found, holes, strict=True):
             for i in at:
                 values[i] = fresh[words[i]]
-        if len(self) + len(fresh) > self.most:
+        size = sum(map(len, new))
+        if len(self) + len(fresh) > self.most or self.chars + size > 32 * self.most:
             self.clear()
-        self.update(fresh)
+            self.chars = 0
+        if len(fresh) <= self.most and size <= 32 * self.most:
+            self.update(fresh)
+            self.chars += size
         return found

@@ -4,11 +4,12 @@ Pieces of documents are dealt by a hash into blocks of bounded size; each block
 A genome is a grouping: bins of pieces. Crossover injects the best filled bins of the other parent as wholes, removes
 the bins that hold one of their pieces a second time, and best-fits the pieces displaced with them, largest first.
 After the first epoch each island's elite, its best grouping, migrates to the next island of its block and takes part
-in the second epoch. The best grouping of a block keeps its well filled bins; the pieces of the others meet in wider
-blocks, where they are evolved again. All that is held in one task is a block, whose size doesn't grow with the table.
+in the second epoch, in which all islands go on; the best of them stands for the block. It keeps its well filled bins;
+the pieces of the others meet in wider blocks, where they are evolved again. All that is held in one task is a block,
+whose size doesn't grow with the table. An island stops when it has as few bins as the pieces' sum allows.
 
 Nulls: a null text counts as empty, so it has one token, the end mark. A null doc_id is carried along. Repeated rows
-are packed each by itself. An empty table gives no rows. Other columns are neither read nor returned.
+are packed each by itself; ties between bins or pieces go by the order of rows. Texts are tokenized whole, however long. An empty table gives no rows. Other columns are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from foliant.llm.common import Cache, by_slices, written
 END = (1).to_bytes(4, "little")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Pieces in a block, islands that evolve it, and how many blocks meet in a wider one.
-BLOCK, ISLANDS, WIDER = 4_000, 2, 24
+BLOCK, ISLANDS, WIDER = 4_000, 3, 24
 #: A bin is settled after the first level if at most this many tokens of it are free.
 SETTLED_FREE = 4
 
@@ -40,7 +41,7 @@ def tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path), Cache(400_000), Cache(500_000)
+    return Tokenizer.from_file(path), Cache(300_000), Cache(300_000)
 
 
 def lowered(text: str) -> str:
@@ -186,13 +187,13 @@ def groups_of(bins: pd.Series) -> list[list[int]]:
     return [x.tolist() for x in np.split(order, np.flatnonzero(np.diff(values)) + 1)] if len(order) else []
 
 
-STATE = f"{PIECES}, block long, island int, bin int, sequence_id long"
+STATE = f"{PIECES}, block long, island int, bin int, bins int, sequence_id long"
 
 
 def epoch(level: int, capacity: int, generations: int, last: bool):
     """For applyInPandas: evolves an island (block, island), whose rows may also have a `bin` from it and from a migrant.
 
-    After the last epoch an island stands for its whole block, and `sequence_id` is -1 where a bin isn't settled.
+    After the last epoch `sequence_id` is -1 where a bin isn't settled.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -209,11 +210,11 @@ def epoch(level: int, capacity: int, generations: int, last: bool):
         for k, b in enumerate(bins):
             number[b] = k
             fill[k] = sum([size[i] for i in b])
-        out = own.assign(bin=number.astype(np.int32), sequence_id=-1)
+        out = own.assign(bin=number.astype(np.int32), bins=len(bins), sequence_id=-1)
         if last:
             settled = (fill >= capacity - SETTLED_FREE) | (level == 2)
             out["sequence_id"] = np.where(settled[number], (2 * block + level - 1) * 2**20 + number, -1)
-        return out[["doc_id", "piece", "start", "length", "ids_crc32", "block", "island", "bin", "sequence_id"]]
+        return out[["doc_id", "piece", "start", "length", "ids_crc32", "block", "island", "bin", "bins", "sequence_id"]]
 
     return run
 
@@ -226,7 +227,9 @@ def evolved(df: DataFrame, level: int, capacity: int, generations: int) -> DataF
     stays = F.struct(F.col("island").alias("island"), F.lit(0).alias("migrant"))
     goes = F.struct(((F.col("island") + 1) % ISLANDS).cast("int").alias("island"), F.lit(1).alias("migrant"))
     met = one.withColumn("to", F.explode(F.array(stays, goes))).withColumn("island", F.col("to.island")).withColumn("migrant", F.col("to.migrant")).drop("to")
-    return met.where("island = 0").groupBy("block", "island").applyInPandas(epoch(level, capacity, generations, True), STATE)
+    two = written(met.groupBy("block", "island").applyInPandas(epoch(level, capacity, generations, True), STATE), "islands")
+    best = two.groupBy("block").agg(F.min(F.struct("bins", "island")).alias("best")).select("block", "best.island")
+    return two.join(best, ["block", "island"]).drop("bins")
 
 
 def pack(items: DataFrame, capacity: int, block: int = BLOCK, generations: int = 6) -> DataFrame:

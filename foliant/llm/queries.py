@@ -81,4 +81,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Words and lines of whole texts; a word is covered if one of the three windows that it can be in is there twice.
+QUALITY_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM (SELECT r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM d)),
+three AS (SELECT r, word, pos, lead(word) OVER v AS second_word, lead(word, 2) OVER v AS third_word FROM w WINDOW v AS (PARTITION BY r ORDER BY pos)),
+again AS (SELECT r, word, pos, third_word IS NOT NULL AND count(*) OVER (PARTITION BY r, word, second_word, third_word) > 1 AS twice FROM three),
+covered AS (SELECT r, word, max(twice) OVER (PARTITION BY r ORDER BY pos ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS covered FROM again),
+of_words AS (SELECT r, count(*) AS n_words, sum(length(word))::BIGINT AS word_chars, count(*) FILTER (WHERE covered) AS n_repeat_words, count(*) FILTER (WHERE lower(word) IN (STOP)) AS n_stop FROM covered GROUP BY r),
+of_lines AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+m AS (SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+  coalesce(n_lines, 0) AS n_lines, length(regexp_replace(text, '[^!?]+', '', 'g')) AS n_marks, coalesce(n_stop, 0) AS n_stop FROM d LEFT JOIN of_words USING (r) LEFT JOIN of_lines USING (r)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+NOT base_failed AND n_words <= 1000000 AND word_chars / n_words BETWEEN 2 AND 12 AND n_symbols / n_words <= 0.1 AND n_marks / n_words <= 0.5 AND n_stop / n_words >= 0.01 AND n_dup_lines / n_lines <= 0.3 AND n_words / n_lines >= 2 AS kept,
+n_lines, n_marks, n_stop FROM b""".replace("STOP", ", ".join(f"'{w}'" for w in quality.STOP_WORDS))
+
+#: All pairs that share a shingle, and what each document reaches by links.
+JACCARD_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda k: array_to_string(w[k:k + 2], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
+e AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM s),
+links AS (SELECT a.doc_id AS x, b.doc_id AS y FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id AND 100 * a.n >= 90 * b.n AND 100 * b.n >= 90 * a.n GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+reached AS (SELECT DISTINCT x, x AS y FROM links UNION SELECT r.x, l.y FROM reached r JOIN links l ON r.y = l.x)
+SELECT doc_id, len(g)::BIGINT AS n_shingles, coalesce(least(doc_id, c), doc_id) AS component_id FROM s LEFT JOIN (SELECT x, min(y) AS c FROM reached GROUP BY x) ON doc_id = x"""
+
+ORACLE_SQL: dict[str, str] = {"op6_quality_rules": QUALITY_SQL, "op10_ngram_jaccard": JACCARD_SQL}

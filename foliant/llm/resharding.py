@@ -2,9 +2,10 @@
 
 The flow runs from old shards, which supply their bytes, to new shards, which take up to their capacity; a byte that
 stays where it is costs nothing, one that moves costs one. What it says is carried out by blocks: a hash deals each old
-shard's rows into blocks whose number grows with the table, the blocks are laid end to end, and each stretch of bytes
-goes where the flow sends it. So shards differ from their capacity by about a block. The driver sees one row for each
-old shard; blocks are dealt out by window sums over a table of at most `MOST_BLOCKS` rows.
+shard's rows into blocks whose number grows with the table up to `MOST_BLOCKS`, the blocks are laid end to end, and each
+stretch of bytes goes where the flow sends it. So shards differ from their capacity by about a block for each old shard
+that they take from, which beyond 33 million rows is a fixed share of a shard, about a ten thousandth. The driver sees
+one row for each old shard; blocks are dealt out by window sums over a table of that many rows for each.
 
 Nulls: a null text has no bytes and the checksum of none; a null doc_id or old shard is a value like any other.
 Repeated rows are placed each by itself, and slots among equal rows are as good as any. An empty table gives no rows.
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from foliant.llm.common import shared_dir, written
 
-#: Rows in a block, and the most blocks there are, which bounds what is broadcast (two numbers and a shard each).
+#: Rows in a block, and the most blocks there are.
 ROWS, MOST_BLOCKS = 500, 65_536
 
 
@@ -86,10 +87,11 @@ def sized(docs: DataFrame, old_shard: F.Column) -> DataFrame:
 
 def resharded(rows: DataFrame, shards: int) -> DataFrame:
     """Adds `shard` and `slot`, gapless from 0 in each shard, to the rows of `sized`."""
-    rows = written(rows, "sizes")
-    blocks = min(MOST_BLOCKS, max(1024, rows.count() // ROWS))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(blocks)))
-    sums = written(rows.groupBy("old_shard", "block").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")), "blocks")
+    sizes = written(rows.drop("__row"), "sizes")
+    blocks = F.lit(min(MOST_BLOCKS, max(1024, sizes.count() // ROWS)))
+    block = F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), blocks)
+    rows = rows.withColumn("block", block)
+    sums = written(sizes.withColumn("block", block).groupBy("old_shard", "block").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")), "blocks")
     old = {r["old_shard"]: r["bytes"] for r in sums.groupBy("old_shard").agg(F.sum("bytes").alias("bytes")).orderBy("old_shard").collect()}
     names, supply = list(old), list(old.values())
     flow = min_cost_flow(supply, capacities(sum(supply), shards), [[0 if name == j else 1 for j in range(shards)] for name in names])
@@ -110,8 +112,8 @@ def resharded(rows: DataFrame, shards: int) -> DataFrame:
     first = Window.partitionBy("shard").orderBy("old_shard", "block").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.select("old_shard", "block", "shard", F.coalesce(F.sum("n").over(first), F.lit(0)).alias("first_slot"))
     within = Window.partitionBy("old_shard", "block").orderBy("doc_id", "text_crc32", "size")
-    # `placed` has a row for each block of each old shard, MOST_BLOCKS times the old shards at most
-    return rows.join(F.broadcast(placed), ["old_shard", "block"]).withColumn("slot", F.col("first_slot") + F.row_number().over(within) - 1).drop("first_slot", "block")
+    # rows are dealt by old shard and block once, for the join and for the slots; texts go through this exchange alone
+    return rows.join(placed.hint("merge"), ["old_shard", "block"]).withColumn("slot", F.col("first_slot") + F.row_number().over(within) - 1).drop("first_slot", "block")
 
 
 def affected(placed: DataFrame) -> DataFrame:

@@ -11,7 +11,8 @@ most telling first, each only if it covers documents that the ones before don't.
 
 Nulls: a null text counts as empty and gets the score of a text without hits; a row with a null doc_id is scored and
 counts as not held out. Labels that are null are left out, and repeated labels count once (the larger). Without usable
-labels the built-in lexicon stands alone. Repeated rows get equal scores; an empty table gives no rows.
+labels the built-in lexicon stands alone. Repeated rows get equal scores; an empty table gives no rows. Texts are scored
+whole, in time that grows in proportion to their length. Of entries that begin at one place the heaviest counts.
 """
 
 from __future__ import annotations
@@ -86,7 +87,16 @@ def hits(text: str, lexicon: str, exceptions: tuple[str, ...]) -> tuple[float, i
         elif begin not in best or weight > best[begin][0]:
             best[begin] = (weight, entry)
     if spared:
-        best = {at: x for at, x in best.items() if not any(a <= at and at + 1 < b for a, b in spared)}
+        # the furthest end of a phrase that begins no later, in one walk along both
+        spared.sort()
+        k, reach, left = 0, -1, {}
+        for at in sorted(best):
+            while k < len(spared) and spared[k][0] <= at:
+                reach = max(reach, spared[k][1])
+                k += 1
+            if at + 1 >= reach:
+                left[at] = best[at]
+        best = left
     return sum(w for w, _ in best.values()), len(best), len({e for _, e in best.values()}), text.count(" ") - 1 if len(text) > 2 else 0
 
 
@@ -122,17 +132,19 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents of each label that have a word, or a word with such a beginning; one partial count a batch."""
+    """Documents of each label that have a word, or a word with such a beginning."""
+    seen: tuple[Counter, Counter] = (Counter(), Counter())
     for batch in batches:
-        seen: tuple[Counter, Counter] = (Counter(), Counter())
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             words = set(folded(text or "").split())
-            found = {f" {w} " for w in words} | {f" {w[:k]}" for w in words for k in range(SHORTEST, min(LONGEST, len(w)) + 1)}
-            seen[1 if toxic else 0].update(found)
-        keys = sorted(seen[1])  # an entry without toxic documents is of no use
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(keys, pa.string()), pa.array([seen[1][k] for k in keys], pa.int64()), pa.array([seen[0][k] for k in keys], pa.int64())], names=["entry", "toxic", "clean"]
-        )
+            seen[1 if toxic else 0].update({f" {w} " for w in words} | {f" {w[:k]}" for w in words for k in range(SHORTEST, min(LONGEST, len(w)) + 1)})
+    for kind, counts in enumerate(seen):
+        keys = sorted(counts)
+        for at in range(0, len(keys), 20_000):
+            part = keys[at : at + 20_000]
+            numbers = pa.array([counts[k] for k in part], pa.int64())
+            none = pa.array([0] * len(part), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *([numbers, none] if kind else [none, numbers])], names=["entry", "toxic", "clean"])
 
 
 def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, exceptions: list[str] | None = None) -> Model:
@@ -143,22 +155,11 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, exceptions: li
     bad, good = totals.get(True, 0), totals.get(False, 0)
     if min(bad, good) < SUPPORT:
         return Model(BUILT_IN, -4.0, [4.0, 2.0, 2.0], exceptions)
-    schema = "entry string, toxic long, clean long"
-    first = drawn.repartition(16).mapInArrow(_counts, schema).groupBy("entry").agg(F.sum("toxic").alias("toxic"))
-    # clean documents are counted for the entries that toxic ones support
-    wanted = first.where(F.col("toxic") >= max(SUPPORT, bad // 100)).orderBy(F.desc("toxic"), "entry").limit(20 * ENTRIES).collect()
-    support = {r["entry"]: r["toxic"] for r in wanted}
-
-    def clean_counts(batches):
-        for batch in batches:
-            seen: Counter = Counter()
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if not toxic:
-                    words = set(folded(text or "").split())
-                    seen.update(x for x in {f" {w} " for w in words} | {f" {w[:k]}" for w in words for k in range(SHORTEST, min(LONGEST, len(w)) + 1)} if x in support)
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["entry", "clean"])
-
-    clean = {r["entry"]: r["n"] for r in drawn.mapInArrow(clean_counts, "entry string, clean long").groupBy("entry").agg(F.sum("clean").alias("n")).collect()}
+    counted = drawn.repartition(16).mapInArrow(_counts, "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    # only telling entries compete for the places
+    telling = counted.where(F.col("toxic") >= SUPPORT).where(F.col("toxic") >= PURITY * (F.col("toxic") + F.col("clean") * bad / good))
+    wanted = telling.orderBy(F.desc("toxic"), "clean", "entry").limit(20 * ENTRIES).collect()
+    support, clean = {r["entry"]: r["toxic"] for r in wanted}, {r["entry"]: r["clean"] for r in wanted}
     lexicon = choose(support, clean, bad, good)
     model = Model(BUILT_IN | lexicon, 0.0, [0.0] * 3, exceptions)
     lex, exc = model.lexicon, model.exceptions
@@ -175,7 +176,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, exceptions: li
 
 def choose(support: dict[str, int], clean: dict[str, int], bad: int, good: int) -> dict[str, float]:
     """The telling entries with their log odds. A longer beginning is left out where a shorter one tells as much."""
-    odds = {e: float(np.log((n + 0.5) / (bad + 1)) - np.log((clean.get(e, 0) + 0.5) / (good + 1))) for e, n in support.items() if n / (n + clean.get(e, 0) * bad / max(good, 1)) >= PURITY}
+    odds = {e: float(np.log((n + 0.5) / (bad + 1)) - np.log((clean[e] + 0.5) / (good + 1))) for e, n in support.items()}
     chosen: dict[str, float] = {}
     for entry in sorted(odds, key=lambda e: (len(e), e)):
         stem = entry.rstrip()
@@ -214,7 +215,10 @@ def rejecting(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = names.index("text")
         for batch in batches:
-            keep = [model.score(t or "") < threshold for t in batch.column(at).to_pylist()]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            for a in range(0, batch.num_rows, 200):
+                part = batch.slice(a, 200)
+                texts = part.column(at)
+                keep = [model.score(texts[k].as_py() or "") < threshold for k in range(part.num_rows)]
+                yield part.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

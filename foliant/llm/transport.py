@@ -152,7 +152,7 @@ def section(packet: np.ndarray, table_id: int) -> bytes:
     return whole[8:-4]
 
 
-def read_stream(media: bytes) -> Stream:
+def parsed(media: bytes) -> Stream:
     if not media or len(media) % PACKET:
         raise Damaged("not whole packets")
     grid = np.frombuffer(media, np.uint8).reshape(-1, PACKET)
@@ -171,9 +171,12 @@ def read_stream(media: bytes) -> Stream:
     stream_pid = int.from_bytes(listed[5 + (int.from_bytes(listed[2:4], "big") & 0x0FFF) :][:2], "big") & 0x1FFF
     broken = 0
     for p in (PID_TABLES, map_pid, stream_pid):
-        own = counter[(pid == p) & (control & 0x10 > 0)].astype(np.int16)
+        rows = np.flatnonzero((pid == p) & (control & 0x10 > 0))
+        # a packet may be sent twice, as it is and with the same counter; the second one is passed over
+        twice = np.flatnonzero(counter[rows[1:]] == counter[rows[:-1]]) + 1
+        rows = np.delete(rows, twice[(grid[rows[twice]] == grid[rows[twice - 1]]).all(1)])
+        own = counter[rows].astype(np.int16)
         broken += int(((own[1:] - own[:-1]) % 16 != 1).sum())
-    rows = np.flatnonzero((pid == stream_pid) & (control & 0x10 > 0))
     own, has_field = grid[rows], control[rows] & 0x20 > 0
     start = np.where(has_field, 5 + own[:, 4].astype(np.int64), 4)
     flags = np.where(has_field & (own[:, 4] > 0), own[:, 5], 0)
@@ -196,6 +199,13 @@ def read_stream(media: bytes) -> Stream:
     return Stream(np.concatenate(parts).tobytes(), len(grid), broken, stamps, np.cumsum(lengths) - lengths, flags[opening] & 0x40 > 0, rows[opening])
 
 
+def read_stream(media: bytes) -> Stream:
+    try:
+        return parsed(media)
+    except (IndexError, ValueError) as e:
+        raise e if isinstance(e, Damaged) else Damaged("a packet is cut short") from e
+
+
 def feature(s: Stream) -> str:
     """Packets, broken counters, units, random-access points, first and last stamp, sum of the samples, and how many are in each eighth of their range."""
     samples = np.frombuffer(s.payload, np.uint8)
@@ -218,9 +228,17 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def _read(batch: pa.RecordBatch, columns) -> pa.RecordBatch:
-    streams = [None if m is None else (m, read_stream(m)) for m in batch.column("media").to_pylist()]
+    """Streams that can't be read have null in all columns and the reason in `error`."""
+    streams, errors = [], []
+    for m in batch.column("media").to_pylist():
+        try:
+            streams.append(None if m is None else (m, read_stream(m)))
+            errors.append("there is no stream" if m is None else "continuity counters are broken" if streams[-1][1].broken else None)
+        except Damaged as e:
+            streams.append(None)
+            errors.append(str(e))
     fields = [(name, kind, [None if x is None else get(*x) for x in streams]) for name, kind, get in columns]
-    return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *[pa.array(v, k) for _, k, v in fields]], names=["doc_id", "n_bytes", *[n for n, _, _ in fields]])
+    return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *[pa.array(v, k) for _, k, v in fields], pa.array(errors, pa.string())], names=["doc_id", "n_bytes", *[n for n, _, _ in fields], "error"])
 
 
 def _mapped(media: DataFrame, columns, schema: str) -> DataFrame:
@@ -241,7 +259,7 @@ def units(media: DataFrame) -> DataFrame:
         ("first_packets", kinds, lambda m, s: s.first_packets.tolist()),
         ("points", pa.list_(pa.bool_()), lambda m, s: s.points.tolist()),
     ]
-    return _mapped(media, columns, "doc_id long, n_bytes long, stamps array<long>, starts array<long>, first_packets array<long>, points array<boolean>")
+    return _mapped(media, columns, "doc_id long, n_bytes long, stamps array<long>, starts array<long>, first_packets array<long>, points array<boolean>, error string")
 
 
 def described(media: DataFrame) -> DataFrame:
@@ -254,4 +272,4 @@ def described(media: DataFrame) -> DataFrame:
         ("media_sha256", pa.string(), lambda m, s: hashlib.sha256(m).hexdigest()),
         ("feature", pa.string(), lambda m, s: feature(s)),
     ]
-    return _mapped(media, columns, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return _mapped(media, columns, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string")
