@@ -1,19 +1,22 @@
 """Exact Jaccard self-join on word n-grams, for connected groups, by skipping on set relations.
 
 Equal sets are one class. A first pass counts all shingles of all documents in a table of fixed size, which gives the
-global order of tokens: rare ones first. The index has a class's first tokens, enough for it to share some with any
-class it links with. An index list is sorted by set size. Sets of short lists are candidates pair by pair, skipping by
-size and by position (what comes after a shared token bounds the overlap) and asking for several shared tokens; sets of
-long lists, which are those of copies, are candidates with their neighbours. Candidates form groups, and a group's
-answers are derived from each other: a set is held as its difference from what most of the group has, and overlaps with
-all sets not yet reached follow from the overlaps of the differences. No pair is emitted that isn't a step of the
-search, so a group of thousands costs a forest. Large groups are split into blocks that share some members; after that
-only sets outside a group's main component meet the other blocks, and of these only such as have enough of their indexed
-tokens. They meet a block in parts, so that no task holds more than about two blocks at once, however large a group is.
+global order of tokens: rare ones first. The index has a class's first tokens, so many that any two classes that link
+have at least `shared` of them in common. An index list is sorted by set size. In short lists sets meet pair by pair,
+skipping by size and by position (what comes after a shared token bounds the overlap); a pair is a candidate if it met
+often enough. Of the tokens that have to be in common only those of long lists can be missing from that count, so only
+classes with that many such tokens, which are those of large groups of copies, need the long lists, and in these they
+are candidates with their neighbours. Candidates form groups, and a group's answers are derived from each other: a set is
+held as its difference from what most of the group has, and overlaps with all sets not yet reached follow from the
+overlaps of the differences. No pair is emitted that isn't a step of the search, so a group of thousands costs a forest.
+Large groups are split into blocks that share some members; after that only sets outside a group's main component meet
+the other blocks, and of these only such as have enough of their indexed tokens. They meet a block in parts, so that no
+task holds more than about two blocks at once, however large a group is.
 
 Two classes that share a 64-bit digest of their sets would be taken for one. Nulls: a null or blank text has no set and
 links with nothing; a null doc_id is carried along and never names a component, unless all of its members have none.
-Repeated rows are of one class. An empty table gives no rows; other columns are neither read nor returned.
+Repeated rows are of one class. Texts are taken whole, however long. An empty table gives no rows; `joined` neither reads
+nor returns other columns, `representatives` keeps all of them, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,20 +26,20 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.common import by_slices, slices, written
+from foliant.llm.common import by_slices, discard, fresh, slices, small, written
 from foliant.llm.components import components
 
 #: Counting buckets, 2 to this power, and the parts that a task's counts are sent in.
 BUCKETS, PARTS = 20, 16
 #: Lists up to SHORT are joined pair by pair. A block has at most about BLOCK sets, with SHARED that all blocks of its group have.
-SHORT, BLOCK, SHARED = 8, 3_000, 150
-#: Sets that link share so many of their indexed tokens (all that they must share, if that is fewer).
+SHORT, BLOCK, SHARED = 8, 800, 100
+#: Sets that link share so many of their indexed tokens, and one more for each hundred tokens that they have.
 MEET = 3
 #: Sets that a task searches, and as many doc_ids are broadcast at most, a long each.
-BATCH, BROADCAST_ROWS = 1_000, 1_000_000
+BATCH = 500
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -139,6 +142,16 @@ def key_of(tokens: np.ndarray) -> int:
     return int(mix(sums)[0] >> np.uint64(1))
 
 
+def shared(n, percent: int):
+    """How many of their indexed tokens two sets have in common that link, of which the smaller one has `n`; an array or a number."""
+    return np.minimum(MEET + n // 100, -(-percent * n // 100))
+
+
+def least_shared(percent: int) -> str:
+    """SQL: the same for the smallest set that a set of `n` may link with."""
+    return f"least({MEET} + ceil({percent} * n / 100) div 100, ceil({percent} * ceil({percent} * n / 100) / 100))"
+
+
 def sets(docs: DataFrame, steps, words: int, percent: int, whole: bool) -> DataFrame:
     """doc_id, n, k (the class) and `tokens`: the whole set as bytes, or the part of it that is indexed as an array."""
 
@@ -147,7 +160,7 @@ def sets(docs: DataFrame, steps, words: int, percent: int, whole: bool) -> DataF
         if whole:
             tokens = pa.array([t.tobytes() for t in found], pa.binary())
         else:
-            parts = [t[: len(t) - must + min(MEET, must)] for t, must in ((t, -(-percent * len(t) // 100)) for t in found)]
+            parts = [t[: len(t) - -(-percent * len(t) // 100) + int(shared(len(t), percent))] for t in found]
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
             tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*parts, np.zeros(0, np.uint64)]).view(np.int64)))
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([len(t) for t in found], pa.int64()), pa.array([key_of(t) for t in found], pa.int64()), tokens], names=["doc_id", "n", "k", "tokens"])
@@ -160,7 +173,7 @@ def linked(overlap: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
 
 
 def lists(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Over a partition of (token, n, k, pos) sorted by these: pairs (u, v) with the lists they met in and how many they have to meet in, which is 0 for links of a long list's group."""
+    """Over a partition of (token, n, k, pos) sorted by these: from short lists pairs (u, v), how many tokens they would have to share, and in how many lists they met; from long ones (k, token, -1, n)."""
 
     def pairs(token: np.ndarray, n: np.ndarray, k: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
         first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
@@ -170,18 +183,17 @@ def lists(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
         for step in range(1, SHORT):
             i = np.flatnonzero((token[step:] == token[:-step]) & (length[step:] <= SHORT))
             j = i + step
-            # the smaller set comes first; this token, those after it and MEET - 1 before it bound the overlap
-            most = np.minimum(n[i] - pos[i], n[j] - pos[j]) + MEET - 1
+            need = shared(n[i], percent)
+            # the smaller set comes first; this token, those after it and need - 1 before it bound the overlap
+            most = np.minimum(n[i] - pos[i], n[j] - pos[j]) + need - 1
             keep = (100 * n[i] >= percent * n[j]) & (most * (100 + percent) >= percent * (n[i] + n[j]))
-            i, j = i[keep], j[keep]
-            found.append((k[i], k[j], np.minimum(MEET, -(-percent * n[j] // 100))))
-        i = np.flatnonzero((token[1:] == token[:-1]) & (length[1:] > SHORT))
-        i = i[100 * n[i] >= percent * n[i + 1]]  # a gap in sizes ends a group
-        found.append((k[i], k[i + 1], np.zeros(len(i), np.int64)))
+            found.append((k[i[keep]], k[j[keep]], need[keep]))
         u, v, need = (np.concatenate(x) for x in zip(*found, strict=True))
-        rows = np.stack([np.minimum(u, v), np.maximum(u, v), need], 1)[u != v]
-        rows, met = np.unique(rows, axis=0, return_counts=True)
-        return pa.RecordBatch.from_arrays([*[pa.array(np.ascontiguousarray(c)) for c in rows.T], pa.array(met.astype(np.int64))], names=["u", "v", "need", "met"])
+        rows, met = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v), need], 1)[u != v], axis=0, return_counts=True)
+        i = np.flatnonzero(length > SHORT)
+        long = [k[i], token[i], np.full(len(i), -1), n[i]]
+        columns = [np.concatenate([a, b]) for a, b in zip([*rows.T, met], long, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["u", "v", "need", "met"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left = None
@@ -201,6 +213,26 @@ def lists(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
     return run
 
 
+def neighbours(entries: DataFrame, percent: int) -> DataFrame:
+    """Candidates (u, v) from lists (token, n, k): each set with the next one by size; a gap in sizes ends a group."""
+    along = Window.partitionBy("token").orderBy("n", "k")
+    rows = entries.select("k", "n", F.lag("k").over(along).alias("before"), F.lag("n").over(along).alias("less"))
+    return rows.where(f"before IS NOT NULL AND 100 * less >= {percent} * n").select(F.least("k", "before").alias("u"), F.greatest("k", "before").alias("v")).distinct()
+
+
+def candidates(met: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v), to be looked at in groups, from what `lists` found."""
+    long = met.where("need = -1").select(F.col("u").alias("k"), F.col("v").alias("token"), F.col("met").alias("n"))
+    # how many of a class's indexed tokens are in long lists, so that pairs of its may have met so much less often
+    missed = written(long.groupBy("k").agg(F.count("*").alias("missed"), F.min("n").alias("n")), "missed")
+    pairs = met.where("need >= 0").groupBy("u", "v", "need").agg(F.sum("met").alias("met"))
+    for side in ("u", "v"):
+        pairs = pairs.join(missed.select(F.col("k").alias(side), F.col("missed").alias(f"missed_{side}")), side, "left")
+    pairs = pairs.where("met >= need - least(coalesce(missed_u, 0), coalesce(missed_v, 0))").select("u", "v")
+    heavy = missed.where(f"missed >= {least_shared(percent)}").select("k")
+    return pairs.unionByName(neighbours(long.join(heavy, "k", "left_semi"), percent)).distinct()
+
+
 class Group:
     """Sets of which most tokens are common, each as its difference from the common ones."""
 
@@ -299,9 +331,8 @@ def visits(label: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """
     entries = label.join(classes.select("k", "n", F.explode("tokens").alias("token")), "k")
     held = entries.select("group", "token", "block").distinct()
-    need = f"least({MEET}, ceil({percent} * n / 100))"
     met = entries.where("guest").select("group", "token", "k", "n").join(held, ["group", "token"])
-    return met.groupBy("group", "block", "k", "n").agg(F.count("*").alias("met")).where(f"met >= {need}").select("group", "block", "k")
+    return met.groupBy("group", "block", "k", "n").agg(F.count("*").alias("met")).where(f"met >= {least_shared(percent)}").select("group", "block", "k")
 
 
 def group_links(candidates: DataFrame, bodies: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -346,15 +377,16 @@ def classified(docs: DataFrame, percent: int, words: int) -> tuple[DataFrame, Da
     entries = classes.select("k", "n", F.posexplode("tokens").alias("pos", "token"))
     entries = entries.select("token", "n", "k", F.col("pos").cast("long").alias("pos"))
     entries = entries.repartition("token").sortWithinPartitions("token", "n", "k")
-    met = entries.mapInArrow(lists(percent), "u long, v long, need long, met long").groupBy("u", "v", "need").agg(F.sum("met").alias("met"))
-    found = written(met.where("met >= need"), "pairs")
+    met = written(entries.mapInArrow(lists(percent), "u long, v long, need long, met long"), "met")
+    found = written(candidates(met, classes, percent), "pairs")
+    discard(met)
     wanted = found.select(F.explode(F.array("u", "v")).alias("k")).distinct()
     named = indexed.where("k >= 0").groupBy("k").agg(F.min("doc_id").alias("rep"))
     reps = written(named.join(wanted, "k", "left_semi").select("rep").distinct(), "reps")
-    reps = F.broadcast(reps) if reps.count() <= BROADCAST_ROWS else reps
+    reps = small(reps)
     bodies = docs.join(reps, docs["doc_id"].eqNullSafe(reps["rep"]), "left_semi")
     bodies = sets(bodies, steps, words, percent, True).select("k", "tokens")
-    roots = written(components(group_links(found.select("u", "v").distinct(), bodies, classes, percent)), "roots")
+    roots = written(components(group_links(found, bodies, classes, percent)), "roots")
     named = written(named.join(roots, named["k"] == roots["node"], "left").select("k", "rep", F.coalesce("root", "k").alias("root")), "named")
     names = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     return indexed.select("doc_id", "n", "k"), named.join(names, "root").select("k", "rep", "root", "component_id"), steps
@@ -374,19 +406,22 @@ def representatives(docs: DataFrame, percent: int, words: int) -> DataFrame:
     """
     indexed, classes, steps = classified(docs, percent, words)
     rows = written(indexed.join(classes.select("k", "component_id"), "k", "left"), "components")
-    repeated = rows.groupBy("doc_id").agg(F.count("*").alias("times")).where("times > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("__id"))
-    plain = rows.where("k < 0 OR doc_id = component_id").select(F.col("doc_id").alias("__id")).join(repeated, "__id", "left_anti").where("__id IS NOT NULL")
-    kept = docs.join(plain, docs["doc_id"] == plain["__id"], "left_semi")
+    own_id, own_k = fresh(docs.columns, "own_id", "own_k")
+    repeated = rows.groupBy("doc_id").agg(F.count("*").alias("times")).where("times > 1 OR doc_id IS NULL").select(F.col("doc_id").alias(own_id))
+    plain = rows.where("k < 0 OR doc_id = component_id").select(F.col("doc_id").alias(own_id)).join(repeated, own_id, "left_anti").where(F.col(own_id).isNotNull())
+    kept = docs.join(plain, docs["doc_id"] == plain[own_id], "left_semi")
     # where doc_id doesn't tell rows apart, their classes do
-    names, schema = docs.columns, docs.withColumn("__k", F.lit(0).cast("long")).schema
+    names, schema = docs.columns, docs.withColumn(own_k, F.lit(0).cast("long")).schema
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [x or "" for x in batch.column(names.index("text")).to_pylist()]
-            keys = [key_of(ordered(h, steps.value)) for a, b in slices(texts) for h in shingles(texts[a:b], words)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], schema=pa.schema([*batch.schema, pa.field("__k", pa.int64())]))
-
-    odd = docs.join(repeated, docs["doc_id"].eqNullSafe(repeated["__id"]), "left_semi").mapInArrow(keyed, schema)
-    first = classes.where("rep <=> component_id").groupBy("root", "component_id").agg(F.min("k").alias("__first")).drop("root")
-    one = odd.join(first, (odd["__k"] == first["__first"]) & odd["doc_id"].eqNullSafe(first["component_id"]), "left_semi").dropDuplicates(["__k"])
-    return kept.unionByName(one.select(names)).unionByName(odd.where("__k < 0").select(names))
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                texts = [x or "" for x in part.column(names.index("text")).to_pylist()]
+                keys = [key_of(ordered(h, steps.value)) for a, b in slices(texts) for h in shingles(texts[a:b], words)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(keys, pa.int64())], schema=pa.schema([*part.schema, pa.field(own_k, pa.int64())]))
+
+    odd = docs.join(repeated, docs["doc_id"].eqNullSafe(repeated[own_id]), "left_semi").mapInArrow(keyed, schema)
+    least = classes.where("rep <=> component_id").groupBy("root", "component_id").agg(F.min("k").alias("least")).drop("root")
+    one = odd.join(least, (odd[own_k] == least["least"]) & odd["doc_id"].eqNullSafe(least["component_id"]), "left_semi").dropDuplicates([own_k])
+    return kept.unionByName(one.select(names)).unionByName(odd.where(F.col(own_k) < 0).select(names))
