@@ -2,9 +2,13 @@
 
 import collections
 import hashlib
+import json
+import math
 import re
+import time
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -103,6 +107,77 @@ def test_crossover_keeps_every_piece():
         assert all(sum(size[i] for i in x) <= 100 for x in child)
 
 
+def test_search_gains_bins():
+    """Where sizes in thirds of a bin leave best fit above the bound, crossover and migrants take bins away."""
+    first, last = 0, 0
+    for seed in range(6):
+        rng = np.random.default_rng(seed)
+        size = [x for a, b in rng.integers(25, 45, (60, 2)).tolist() for x in (a, b, 100 - a - b)]
+        plain = packing.refit([], list(range(len(size))), size, 100)
+        elites = [packing.evolve(size, 100, k * 100 + seed, [], 30) for k in (1, 2)]
+        best = packing.evolve(size, 100, 7 + seed, elites, 30)
+        assert sorted(i for b in best for i in b) == list(range(len(size)))
+        assert len(best) <= min(map(len, elites)) <= len(plain)
+        first, last = first + len(plain), last + len(best)
+    assert last < first
+
+
+def plain_reader(media):
+    """Another parser: packet by packet, by the standard's field positions."""
+    packets = [media[k : k + 188] for k in range(0, len(media), 188)]
+    assert all(p[0] == 0x47 and len(p) == 188 for p in packets)
+
+    def body(p):
+        return p[4 + (1 + p[4] if p[3] & 0x20 else 0) :] if p[3] & 0x10 else b""
+
+    def pid(p):
+        return int.from_bytes(p[1:3], "big") & 0x1FFF
+
+    table = next(body(p) for p in packets if pid(p) == 0 and p[1] & 0x40)
+    table = table[1 + table[0] :]
+    map_pid = int.from_bytes(table[10:12], "big") & 0x1FFF
+    mapped = next(body(p) for p in packets if pid(p) == map_pid and p[1] & 0x40)
+    mapped = mapped[1 + mapped[0] :]
+    info = int.from_bytes(mapped[10:12], "big") & 0x0FFF
+    stream_pid = int.from_bytes(mapped[13 + info : 15 + info], "big") & 0x1FFF
+    units, points, last = [], [], None
+    for p in packets:
+        if pid(p) == stream_pid:
+            assert last is None or (p[3] & 15) == (last + 1) % 16
+            last = p[3] & 15
+            if p[1] & 0x40:
+                units.append(b"")
+                points.append(bool(p[3] & 0x20 and p[4] and p[5] & 0x40))
+            units[-1] += body(p)
+    payload, stamps = b"", []
+    for u in units:
+        assert u[:3] == b"\0\0\1" and len(u) == 6 + int.from_bytes(u[4:6], "big")
+        t = u[9:14]
+        stamps.append((t[0] >> 1 & 7) << 30 | t[1] << 22 | (t[2] >> 1) << 15 | t[3] << 7 | t[4] >> 1)
+        payload += u[9 + u[8] :]
+    return payload, stamps, points
+
+
+def test_transport_by_another_parser(rows):
+    for _, text in [*rows[:40], (0, "long " * 60_000)]:
+        raw = text.encode()
+        payload = raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
+        media = transport.write_stream(payload)
+        read = transport.read_stream(media)
+        assert plain_reader(media) == (payload, read.stamps.tolist(), read.points.tolist()) and read.payload == payload
+
+
+def test_damaged_streams_are_null(spark):
+    whole = transport.write_stream(bytes(range(256)) * 40)
+    lost = whole[: 188 * 9] + whole[188 * 10 :]
+    twice = whole[: 188 * 9] + whole[188 * 8 : 188 * 9] + whole[188 * 9 :]
+    media = spark.createDataFrame([(1, 5, whole), (2, 5, whole[:-7]), (3, 5, b"x" * 188), (4, 5, None), (5, 5, lost), (6, 5, twice), (7, 5, b"")], "doc_id long, n_bytes long, media binary")
+    got = by_id(transport.described(media))
+    assert got[1].error is None and got[6].error is None and got[6].payload_sha256 == got[1].payload_sha256
+    assert all(got[k].error and got[k].payload_sha256 is None for k in (2, 3, 4, 7))
+    assert got[5].error
+
+
 def test_transport(docs, rows):
     got = by_id(transport.described(transport.to_media(docs)))
     for i, text in rows:
@@ -146,6 +221,8 @@ def test_toxicity(spark, docs):
     model = toxicity.learn(real, labels)
     held = by_id(toxicity.scored(real, model))
     tested = [r for r in labels.where("toxic IS NOT NULL").where(toxicity.held_out(F.col("doc_id"))).collect() if r.doc_id in held]
+    caught = [held[r.doc_id].score >= 0.7 for r in tested if r.toxic]
+    assert sum(caught) >= 0.75 * len(caught) > 0
     clean = [held[r.doc_id].score < 0.7 for r in tested if not r.toxic]
     assert sum(clean) >= 0.98 * len(clean)
     got = by_id(toxicity.scored(docs, model))
@@ -157,6 +234,28 @@ def test_toxicity(spark, docs):
     assert alone.score("you idiot, you stupid m0ron, wоrthless scum") > 0.7 > alone.score("the trash can and an idiot proof clown car in the garden of the house")
 
 
+def test_hits_against_a_plain_search():
+    rng = np.random.default_rng(8)
+    words = ["idiot", "idiotic", "scum", "pond", "soap", "proof", "car", "clown", "the", "moron", "id10t"]
+    lexicon = {" idiot ": 3.0, " idio": 1.0, " scum ": 3.0, " mor": 2.0, " clown ": 1.5}
+    phrases = ["pond scum", "soap scum", "idiot proof", "clown car"]
+    for _ in range(200):
+        text = " ".join(rng.choice(words, int(rng.integers(0, 30))).tolist())
+        plain = toxicity.folded(text)
+        best = {}
+        for entry, weight in lexicon.items():
+            for at in range(len(plain)):
+                if plain.startswith(entry, at) and not any(plain.startswith(f" {p} ", b) and b <= at and at + 1 < b + len(p) + 1 for p in phrases for b in range(at + 1)):
+                    best[at] = max(best.get(at, 0.0), weight)
+        assert toxicity.hits(text, json.dumps(lexicon), tuple(phrases))[:2] == (sum(best.values()), len(best)), text
+
+
+def test_many_exception_phrases_take_linear_time():
+    began = time.perf_counter()
+    toxicity.hits("clown car idiot " * 50_000, json.dumps({" idiot ": 1.0, " clown ": 1.0}), ("clown car",))
+    assert time.perf_counter() - began < 10
+
+
 def test_folding():
     assert toxicity.folded("ІDI0T! wоrd $tupid x2 3") == " idiot word stupid x2 3 "
 
@@ -198,3 +297,72 @@ def test_pii(spark):
     assert clean[0] is None and clean[1] == "" and clean[7] == "w0 [TERM] [TERM] [TERM] the [TERM] [EMAIL] for [TERM]"
     assert pii.sanitised(docs, generalise=False).columns == docs.columns
     assert pii.report(docs.where("doc_id = -5")).count() == 0 and pii.sanitised(docs.where("doc_id = -5")).count() == 0
+
+
+def test_disclosing_terms_against_a_plain_count(spark):
+    """Documents, counts, lower bounds and neighbours in plain Python."""
+    rng = np.random.default_rng(9)
+    plain = [f"word{chr(97 + k)}" for k in range(20)]
+    texts = []
+    for k in range(300):
+        words = rng.choice(plain, 12).tolist()
+        if k % 10 == 0:
+            words[3:3] = ["contact", f"user{k}@mail.org"] if k % 20 else ["contact", "boss@mail.org", "zorba"]
+        if k % 30 == 0:
+            words += ["key", f"ab{k}cd" * 5]
+        texts.append(" ".join(words))
+    texts += ["the same passage with copied words and copy@mail.org inside of it"] * 9
+    source = spark.createDataFrame([(x,) for x in texts], "text string")
+    got = {r.term for r in pii.disclosing(source).collect()}
+
+    def terms(text):
+        text = re.sub(PATTERNS["email"], " ", text.lower())
+        words = re.findall(r"[^\W_]{3,}", text)
+        mixed = [w for w in words if re.search("[0-9]", w) and re.search("[a-z]", w)]
+        return {w for w in words if not re.search("[0-9]", w)} | {"<long mixed>" for w in mixed if len(w) >= 16} | {"<mixed>" for w in mixed if len(w) < 16}
+
+    def share(both, term, entity, total):
+        z, p = pii.SURE**2, min(1.0, both / term)
+        low = (p + z / 2 / term - pii.SURE * math.sqrt(p * (1 - p) / term + z / 4 / term / term)) / (1 + z / term)
+        return 1 - math.log(max(low, 1e-12)) / math.log(entity / total)
+
+    found = [(terms(x), bool(re.search(PATTERNS["email"], x)), re.sub(PATTERNS["email"], " ", x.lower()).split()) for x in texts]
+    entities = sum(e for _, e, _ in found)
+    expected = set()
+    for term in {t for ts, _, _ in found for t in ts}:
+        n, both = sum(term in ts for ts, _, _ in found), sum(term in ts for ts, e, _ in found if e)
+        if both >= pii.SUPPORT and share(both, n, entities, len(texts)) >= pii.DISCLOSED:
+            around = set()
+            for _, e, words in found:
+                if e:
+                    for i, w in enumerate(words):
+                        same = w == term or (term == "<long mixed>" and len(w) >= 16 and re.search("[0-9]", w))
+                        if same:
+                            around.add((words[i - 1] if i else None, words[i + 1] if i + 1 < len(words) else None))
+            if len(around) >= max(pii.SUPPORT, pii.VARIED * both):
+                expected.add(term)
+    assert "contact" in expected and "passage" not in expected
+    # a value's own terms come on top of those of its kind
+    assert expected <= got and "zorba" in got and not got & set(plain) and "passage" not in got
+
+
+def test_spans_of_many_matches(spark):
+    """Two hundred thousand words and numbers, and thousands of matches, in one text."""
+    text = "12 a " * 100_000 + " a@b.cc " * 3000
+    began = time.perf_counter()
+    r = pii.report(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert r.n_email == 3000 and r.spans.startswith("email:500001:500007,email:500009:")
+    assert time.perf_counter() - began < 120
+
+
+@pytest.mark.parametrize("name", ["op6_quality_rules", "op10_ngram_jaccard"])
+def test_sql(spark, name):
+    from foliant.llm import queries
+
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM read_parquet('/root/testdata/sf0.001/documents.parquet')")
+    found = con.execute(queries.ORACLE_SQL[name])
+    df = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    names = [c[0] for c in found.description]
+    assert sorted(names) == sorted(df.columns)
+    assert collections.Counter(map(tuple, df.select(names).collect())) == collections.Counter(map(tuple, found.fetchall()))
