@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 #: Characters of text that a Python task works on at a time.
 SLICE_CHARS = 2_000_000
 
-#: As many numbers are broadcast at most.
-BROADCAST_ROWS = 500_000
+#: As many numbers are broadcast at most, which is 16 MB.
+BROADCAST_ROWS = 2_000_000
 
 #: The byte set that the contracts call white space.
 SPACES = "\\x20\\x09-\\x0D"
