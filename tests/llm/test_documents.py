@@ -216,11 +216,12 @@ def test_quality(docs, rows):
 
 
 def test_toxicity(spark, docs):
-    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").unionByName(spark.createDataFrame([(None, None, None), (3, None, 1)], "doc_id long, quality int, toxic int"))
+    given = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    labels = given.unionByName(spark.createDataFrame([(None, None, None), (3, None, 1)], "doc_id long, quality int, toxic int"))
     real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = toxicity.learn(real, labels)
     held = by_id(toxicity.scored(real, model))
-    tested = [r for r in labels.where("toxic IS NOT NULL").where(toxicity.held_out(F.col("doc_id"))).collect() if r.doc_id in held]
+    tested = [r for r in given.where("toxic IS NOT NULL").where(toxicity.held_out(F.col("doc_id"))).collect() if r.doc_id in held]
     caught = [held[r.doc_id].score >= 0.7 for r in tested if r.toxic]
     assert sum(caught) >= 0.75 * len(caught) > 0
     clean = [held[r.doc_id].score < 0.7 for r in tested if not r.toxic]
