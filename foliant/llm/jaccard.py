@@ -329,7 +329,7 @@ def visits(label: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
     `label` has group, block, k and guest; `classes` has k, n and the indexed `tokens`.
     """
-    entries = label.join(classes.select("k", "n", F.explode("tokens").alias("token")), "k")
+    entries = classes.join(small(label, 4), "k").select("group", "block", "k", "guest", "n", F.explode("tokens").alias("token"))
     held = entries.select("group", "token", "block").distinct()
     met = entries.where("guest").select("group", "token", "k", "n").join(held, ["group", "token"])
     return met.groupBy("group", "block", "k", "n").agg(F.count("*").alias("met")).where(f"met >= {least_shared(percent)}").select("group", "block", "k")
@@ -342,7 +342,7 @@ def group_links(candidates: DataFrame, bodies: DataFrame, classes: DataFrame, pe
     sizes = groups.groupBy("group").agg(F.count("*").alias("members"))
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     members = groups.join(sizes, "group").withColumn("blocks", blocks)
-    held = written(bodies.join(members, "k").withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")), "members")
+    held = written(bodies.join(small(members, 4), "k").withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")), "members")
     # the same members go to all blocks of a group, so that the blocks' components meet in them
     share = F.pmod(F.xxhash64(F.col("k") + 1), F.col("members")) < SHARED
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -373,7 +373,7 @@ def classified(docs: DataFrame, percent: int, words: int) -> tuple[DataFrame, Da
     docs = docs.select("doc_id", "text")
     steps = docs.sparkSession.sparkContext.broadcast(levels(docs, words))
     indexed = written(sets(docs, steps, words, percent, False), "sets")
-    classes = indexed.where("k >= 0").groupBy("k").agg(F.min("n").alias("n"), F.first("tokens").alias("tokens"))
+    classes = written(indexed.where("k >= 0").groupBy("k").agg(F.min("n").alias("n"), F.first("tokens").alias("tokens")), "classes")
     entries = classes.select("k", "n", F.posexplode("tokens").alias("pos", "token"))
     entries = entries.select("token", "n", "k", F.col("pos").cast("long").alias("pos"))
     entries = entries.repartition("token").sortWithinPartitions("token", "n", "k")
