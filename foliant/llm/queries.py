@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import byte_bpe, jaccard, lines, packing, pii, quality, resharding, toxicity, transport, unigram
+from foliant.llm import audit, byte_bpe, jaccard, lines, packing, pii, quality, resharding, toxicity, transport, unigram, urls, whitening
 from foliant.llm.common import documents
 
 
@@ -65,6 +65,26 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.joined(documents(spark, sf_dir))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    return audit.audited(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+#: Host, path and verdict of the rules that URLs are judged by.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Returns per page page_id, host, path, rule, verdict (allowed where no rule fits) and n_rules, the number of rules that fit."""
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urls.judged(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules).drop("url")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return out.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -78,6 +98,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_byte_bpe,
         op9_resharding,
         op10_ngram_jaccard,
+        op11_filter_audit,
+        op12_url_filters,
+        op13_whitening,
     )
 }
 
@@ -106,4 +129,30 @@ links AS (SELECT a.doc_id AS x, b.doc_id AS y FROM e a JOIN e b ON a.g = b.g AND
 reached AS (SELECT DISTINCT x, x AS y FROM links UNION SELECT r.x, l.y FROM reached r JOIN links l ON r.y = l.x)
 SELECT doc_id, len(g)::BIGINT AS n_shingles, coalesce(least(doc_id, c), doc_id) AS component_id FROM s LEFT JOIN (SELECT x, min(y) AS c FROM reached GROUP BY x) ON doc_id = x"""
 
-ORACLE_SQL: dict[str, str] = {"op6_quality_rules": QUALITY_SQL, "op10_ngram_jaccard": JACCARD_SQL}
+#: Masks of failed filters, and what becomes of each of them at each step of each order.
+AUDIT_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS part FROM documents),
+first AS (SELECT text, min(doc_id) AS least FROM d GROUP BY text),
+m AS (SELECT doc_id, text, part, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM d),
+failing AS (SELECT doc_id, part, [len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w), 100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 10 * length(text), regexp_matches(text, '[#$%&*|]'), coalesce(doc_id > least, false)] AS f FROM m JOIN first USING (text)),
+marks AS (SELECT doc_id, max((quality = 1)::INTEGER) AS good, max((toxic = 1)::INTEGER) AS toxic FROM labels GROUP BY doc_id),
+masks AS (SELECT part, f, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic FROM failing LEFT JOIN marks USING (doc_id) GROUP BY part, f),
+filters AS (SELECT unnest([1, 2, 3, 4, 5]) AS k),
+orders AS (SELECT [a.k, b.k, c.k, d.k, e.k] AS o FROM filters a, filters b, filters c, filters d, filters e WHERE len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5),
+steps AS (SELECT array_to_string(list_transform(o, lambda k: 'ABCDE'[k]), '') AS filter_order, unnest([1, 2, 3, 4, 5]) AS step, o FROM orders),
+judged AS (SELECT part, filter_order, step, o[step] AS filter, n, good, toxic, f[o[step]] AS fails, list_bool_or(list_concat([false], list_transform(o[1:step - 1], lambda k: f[k]))) AS gone, len(list_filter(f, lambda x: x)) AS n_failed FROM masks, steps),
+counts AS (SELECT part, filter_order, step, filter, sum(n) FILTER (WHERE NOT gone AND NOT fails) AS kept, sum(n) FILTER (WHERE fails AND NOT gone) AS removed, sum(n) FILTER (WHERE fails AND gone) AS redundant,
+  sum(n) FILTER (WHERE fails AND n_failed = 1) AS unique_fails, sum(good) FILTER (WHERE fails AND NOT gone) AS good_lost, sum(toxic) FILTER (WHERE fails AND NOT gone) AS toxic_lost FROM judged GROUP BY ALL)
+SELECT part, filter_order, step::INTEGER AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, (sum(coalesce(removed, 0)) OVER (PARTITION BY part, filter))::BIGINT AS shapley FROM counts""".replace("\\\\", "\\")
+
+#: Each page with the longest of the rules that fit.
+URLS_SQL = r"""
+WITH rules AS (SELECT * FROM (VALUES RULES) AS r(rule_host, rule_path, rule_verdict)),
+p AS (SELECT row_number() OVER () AS r, page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+q AS (SELECT r, page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+fits AS (SELECT r, count(*) AS n_rules, max_by(rule_host || rule_path, length(rule_host || rule_path)) AS rule, max_by(rule_verdict, length(rule_host || rule_path)) AS verdict
+  FROM q JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY r)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict, coalesce(n_rules, 0) AS n_rules FROM q LEFT JOIN fits USING (r)""".replace("RULES", ", ".join(map(str, URL_RULES)))
+
+ORACLE_SQL: dict[str, str] = {"op6_quality_rules": QUALITY_SQL, "op10_ngram_jaccard": JACCARD_SQL, "op11_filter_audit": AUDIT_SQL, "op12_url_filters": URLS_SQL}
