@@ -22,7 +22,7 @@ from foliant.operators import reads, writes
 from foliant.plans import compiling, edits, splitter
 from foliant.session import new_folder, prepared
 from foliant.sources.files import assets_as_base64, refused, table, to_write, without_deleted, write_files
-from foliant.streaming import debounce
+from foliant.streaming import debounce, feeds, timers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -587,3 +587,43 @@ def s2_states(read):
     at = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
     state = F.when(at == 1, "pending").when(at == 2, F.when(F.col("user_id") % 3 == 0, "error").otherwise("done")).otherwise(F.when(F.col("event_id") % 2 == 0, "applied").otherwise("rejected"))
     return debounce.final_states(read("events").select("user_id", "event_id", state.alias("s")), "user_id", "event_id", "s")
+
+
+#: Events arrive up to an hour late, in three landings.
+ARRIVAL, LATENESS, LANDINGS = "ts + make_interval(0, 0, 0, 0, 0, 0, event_id * 7919 % 3600)", "1 hours", 3
+
+
+@query(ORACLE_SQL["s1_debounce"])
+def s1_stream_saves(read):
+    """The same saves from a stream in append mode, with a timer for each editor: all events, then what closes the feed."""
+
+    def build(stream: DataFrame) -> DataFrame:
+        edits = feeds.open_rows(debounce.stream_of(stream, "ts", LATENESS), "ts")
+        return timers.saves(edits, "user_id", "ts", "event_type", "props", pause="2 hours")
+
+    found = feeds.incrementally(feeds.landings(read("events"), "ts", ARRIVAL, LANDINGS, "3 days"), build)
+    return found.withColumn("saved_at", F.col("saved_at").cast("timestamp_ntz"))
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT user_id, ts, CASE event_type WHEN 'click' THEN 'pending' WHEN 'view' THEN 'done' WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'applied' ELSE 'rejected' END AS s,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, count(*) OVER (PARTITION BY user_id) AS last FROM events),
+taken AS (SELECT e.*, NULL::VARCHAR AS was, NULL::TIMESTAMP AS until, NULL::VARCHAR AS before, s = 'pending' AS ok FROM e WHERE n = 1 UNION ALL
+  SELECT user_id, ts, s, n, last, was, until, before, CASE WHEN before IS NULL THEN s = 'pending' WHEN before = 'pending' THEN s IN ('done', 'error') ELSE s IN ('applied', 'rejected') END
+  FROM (SELECT e.user_id, e.ts, e.s, e.n, e.last, h.state AS was, h.deadline AS until, CASE WHEN e.ts <= h.deadline THEN h.state END AS before
+    FROM (SELECT user_id, n, CASE WHEN ok THEN CASE WHEN s IN ('pending', 'done') THEN s END ELSE before END AS state, CASE WHEN ok THEN ts + INTERVAL 12 HOUR ELSE until END AS deadline FROM taken) h JOIN e ON e.user_id = h.user_id AND e.n = h.n + 1)),
+held AS (SELECT *, CASE WHEN ok THEN CASE WHEN s IN ('pending', 'done') THEN s END ELSE before END AS state, CASE WHEN ok THEN ts + INTERVAL 12 HOUR ELSE until END AS deadline FROM taken)
+SELECT user_id, ts AS at, before, s AS status, CASE WHEN ok THEN 'settled' ELSE 'refused' END AS outcome FROM held WHERE NOT ok OR s NOT IN ('pending', 'done') UNION ALL
+SELECT user_id, until, was, NULL, 'expired' FROM held WHERE was IS NOT NULL AND ts > until UNION ALL
+SELECT user_id, deadline, state, NULL, 'expired' FROM held WHERE n = last AND state IS NOT NULL""")
+def s2_stream_outcomes(read):
+    """Events as moves of edits, one edit a user at a time, from a stream that delivers some events twice."""
+    events = read("events").withColumn("s", F.expr("CASE event_type WHEN 'click' THEN 'pending' WHEN 'view' THEN 'done' WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'applied' ELSE 'rejected' END"))
+
+    def build(stream: DataFrame) -> DataFrame:
+        moves = feeds.open_rows(debounce.stream_of(stream, "ts", LATENESS).dropDuplicatesWithinWatermark(["event_id", feeds.CLOSING]), "ts")
+        return timers.outcomes(moves, "user_id", "ts", "event_id", "s", limit="12 hours")
+
+    events = events.select("event_id", "user_id", "ts", "s")
+    parts = feeds.landings(events.unionByName(events.where("event_id % 9 = 4")), "ts", ARRIVAL, LANDINGS, "3 days")
+    return feeds.incrementally(parts, build).withColumn("at", F.col("at").cast("timestamp_ntz"))
