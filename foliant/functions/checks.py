@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from foliant.functions.text import utf16_length
 
-UUID = r"\A[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[1-8][0-9a-fA-F]{3}-[89abAB][0-9a-fA-F]{3}-[0-9a-fA-F]{12}\z"
+# Identifiers of versions 1 to 8, and the nil and the greatest one.
+UUID = r"\A(?:[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[1-8][0-9a-fA-F]{3}-[89abAB][0-9a-fA-F]{3}-[0-9a-fA-F]{12}|00000000-0000-0000-0000-000000000000|[fF]{8}-[fF]{4}-[fF]{4}-[fF]{4}-[fF]{12})\z"
 
 
 def sure(x: Column) -> Column:

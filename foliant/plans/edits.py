@@ -38,22 +38,40 @@ def chosen(chunk: Column, found: Column, summary: Column) -> Column:
     return F.when(same | found.isNull() | F.coalesce(short, F.lit(False)), chunk).otherwise(found)
 
 
-def with_replies(tasks: DataFrame, replies: DataFrame, key: str) -> DataFrame:
-    """Tasks with the reply to each, null where there is none."""
-    held = replies.select(F.col(key).alias("__key"), F.col("chunk_id").alias("__chunk"), "reply")
-    return tasks.join(held, (tasks[key] == held["__key"]) & (tasks["chunk_id"] == held["__chunk"]), "left").drop("__key", "__chunk")
+def with_replies(tasks: DataFrame, replies: DataFrame, key: str, arrived: str | None = None) -> DataFrame:
+    """Tasks with the reply to each and its status, from replies that come in any order, twice, or not at all.
+
+    Replies are rows of the key, chunk_id, reply and, where a worker failed, error; of several to a task the first to
+    arrive stands, or the least one without `arrived`. A task that failed, or that nobody answered, goes on with its own
+    chunk as the reply, which leaves the other tasks alone.
+    """
+    error = F.col("error") if "error" in replies.columns else F.lit(None).cast("string")
+    found = F.struct(F.col("reply").alias("reply"), error.alias("error"))
+    first = F.min(found) if arrived is None else F.min_by(found, arrived)
+    held = replies.groupBy(F.col(key).alias("__key"), F.col("chunk_id").alias("__chunk")).agg(first.alias("__first"))
+    rows = tasks.join(held, tasks[key].eqNullSafe(held["__key"]) & (tasks["chunk_id"] == held["__chunk"]), "left")
+    said = F.col("__first.reply")
+    why = F.coalesce(F.col("__first.error"), F.when(F.col("__chunk").isNull(), F.lit("no reply")).otherwise("failed"))
+    status = F.when(said.isNotNull(), F.lit("completed")).otherwise(F.concat(F.lit("error: "), why))
+    return rows.withColumns({"status": status, "reply": F.coalesce(said, F.col("chunk"))}).drop("__key", "__chunk", "__first")
 
 
 def gather(rows: DataFrame, key: str, *carried: str) -> DataFrame:
-    """From tasks with their replies: key, what is carried along, chunks in the order of the ids that replies name (else the tasks'), and summaries."""
+    """From tasks with their replies: key, what is carried along, chunks in the order of the ids that replies name (else the tasks'), and summaries.
+
+    Where tasks have a status, these come along as well, in the order of the tasks.
+    """
+    more = ["status"] if "status" in rows.columns else []
     # columns of their own, so that each pattern runs once
-    rows = rows.select(key, *carried, "chunk_id", "chunk", t.chunk_id(F.col("reply")).alias("__named"), replied_block(F.col("reply")).alias("__found"), t.changes_summary(F.col("reply")).alias("__summary"))
+    rows = rows.select(key, *carried, *more, "chunk_id", "chunk", t.chunk_id(F.col("reply")).alias("__named"), replied_block(F.col("reply")).alias("__found"), t.changes_summary(F.col("reply")).alias("__summary"))
     line = F.when(F.col("__summary") != "", F.concat(F.lit("**Agent "), F.col("chunk_id").cast("string"), F.lit(":** "), F.col("__summary")))
     # where no id is named the task's stands in, and the task's settles ties
     text = chosen(F.col("chunk"), F.col("__found"), F.col("__summary"))
-    item = F.struct(F.coalesce("__named", "chunk_id").alias("a"), F.col("chunk_id").alias("b"), text.alias("text"), line.alias("line"))
+    item = F.struct(F.coalesce("__named", "chunk_id").alias("a"), F.col("chunk_id").alias("b"), text.alias("text"), line.alias("line"), *more)
     held = rows.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("__items"), *[F.any_value(c).alias(c) for c in carried])
-    return held.select(key, *carried, F.transform("__items", lambda x: x["text"]).alias("chunks"), F.filter(F.transform("__items", lambda x: x["line"]), lambda x: x.isNotNull()).alias("summaries"))
+    by_task = F.array_sort(F.transform("__items", lambda x: F.struct(x["b"].alias("b"), x["status"].alias("status")))) if more else None
+    statuses = [F.transform(by_task, lambda x: x["status"]).alias("statuses")] if more else []
+    return held.select(key, *carried, F.transform("__items", lambda x: x["text"]).alias("chunks"), F.filter(F.transform("__items", lambda x: x["line"]), lambda x: x.isNotNull()).alias("summaries"), *statuses)
 
 
 def assembled(preamble: Column, chunks: Column) -> Column:

@@ -8,6 +8,7 @@ composed of their columns, in the same way on both sides.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,9 +19,12 @@ from foliant.functions import text as t
 from foliant.functions.lexer import tokenised
 from foliant.functions.snippets import snippets
 from foliant.operators import collections as c
-from foliant.operators import reads, writes
-from foliant.plans import compiling, edits, splitter
+from foliant.operators import reads, replay, writes
+from foliant.operators import requests as gate
+from foliant.plans import compiling, edits, processes, retries, splitter, workers
 from foliant.session import new_folder, prepared
+from foliant.sources import answers as recorded
+from foliant.sources import tables
 from foliant.sources.files import assets_as_base64, refused, table, to_write, without_deleted, write_files
 from foliant.streaming import debounce, feeds, timers
 
@@ -627,3 +631,197 @@ def s2_stream_outcomes(read):
     events = events.select("event_id", "user_id", "ts", "s")
     parts = feeds.landings(events.unionByName(events.where("event_id % 9 = 4")), "ts", ARRIVAL, LANDINGS, "3 days")
     return feeds.incrementally(parts, build).withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
+# ---- answers of a chat service, workers and programs
+
+#: Conversations as a record of answers: what an assistant said is a completion, what others said an error with a wait.
+RECORDED_SQL = """
+SELECT conv_id * 1000 + turn AS request, CASE WHEN role = 'assistant' THEN 200 ELSE 429 END AS status, CASE WHEN role = 'assistant' THEN coalesce(text, '') ELSE '' END AS content,
+CASE WHEN role = 'assistant' THEN 'm' ELSE 'asked' END AS model, CASE WHEN role = 'assistant' THEN 0 ELSE turn + 1 END AS wait FROM conversations"""
+
+
+def spoken(read) -> DataFrame:
+    completion = "to_json(named_struct('model', 'm', 'choices', array(named_struct('message', named_struct('role', role, 'content', text)))))"
+    busy = "to_json(named_struct('error', named_struct('message', concat('Please try again in ', turn, '.5s'))))"
+    return read("conversations").selectExpr("conv_id", "conv_id * 1000 + turn AS request", "1 AS call", "CASE WHEN role = 'assistant' THEN 200 ELSE 429 END AS status", f"CASE WHEN role = 'assistant' THEN {completion} ELSE {busy} END AS body")
+
+
+def interpreted(answers: DataFrame) -> DataFrame:
+    found = compiling.answer(F.col("body"), F.lit("asked"))
+    return answers.select("request", "status", found["content"].alias("content"), found["model"].alias("model"), t.retry_after(F.get_json_object("body", "$.error.message")).alias("wait"))
+
+
+@query(RECORDED_SQL)
+def src6_recorded_answers(read):
+    """Answers are written as a record, read back by its source, and interpreted."""
+    made = spoken(read)
+    folder = new_folder(made.sparkSession, "answers")
+    recorded.record(made, folder, 1)
+    return interpreted(recorded.recorded(made.sparkSession, folder))
+
+
+@query(RECORDED_SQL)
+def src6_answer_stream(read):
+    """The same from a stream over the record, which grows between two runs."""
+    made = spoken(read)
+    spark = made.sparkSession
+    folder = new_folder(spark, "answers")
+    for landing, part in enumerate((made.where("conv_id % 2 = 0"), made.where("conv_id % 2 <> 0 OR conv_id IS NULL")), 1):
+        recorded.record(part, f"{folder}/in", landing)
+        found = interpreted(recorded.recorded_stream(spark, f"{folder}/in"))
+        found.writeStream.format("parquet").options(path=f"{folder}/out", checkpointLocation=f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(found.schema).parquet(f"{folder}/out")
+
+
+@query("""
+WITH RECURSIVE a AS (SELECT user_id * 100 + day(ts) AS request, row_number() OVER (PARTITION BY user_id, day(ts) ORDER BY ts, event_id) AS call, event_type AS k, event_id, props FROM events),
+f AS (SELECT DISTINCT request, 0 AS n, 'calling' AS state, 'calling' AS was, 1 AS attempt, 0 AS waited, 32768 AS max_tokens, NULL::VARCHAR AS k, NULL::BIGINT AS event_id, NULL::VARCHAR AS props FROM a UNION ALL
+  SELECT f.request, n + 1, CASE WHEN a.k = 'view' THEN 'done' WHEN state = 'fallback' THEN 'error' WHEN a.k IN ('click', 'purchase') AND attempt <= 3 THEN 'calling' WHEN a.k = 'error' AND attempt = 1 THEN 'fallback' ELSE 'error' END, state,
+    attempt + 1, waited + CASE WHEN state = 'calling' AND a.k IN ('click', 'purchase') AND attempt <= 3 THEN CASE WHEN a.k = 'click' THEN greatest(a.event_id % 13 + 1, 5) ELSE 5 END ELSE 0 END,
+    CASE WHEN state = 'calling' AND a.k = 'error' AND attempt = 1 THEN 8192 ELSE max_tokens END, a.k, a.event_id, a.props FROM f JOIN a ON a.request = f.request AND a.call = f.n + 1 WHERE state IN ('calling', 'fallback')),
+ends AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY request ORDER BY n DESC) = 1)
+SELECT request, CASE WHEN state IN ('calling', 'fallback') THEN 'waiting' ELSE state END AS state, n AS calls, waited::BIGINT AS waited, max_tokens, CASE WHEN state = 'done' THEN props END AS content, CASE WHEN state = 'done' THEN 'asked' END AS model,
+CASE WHEN state = 'error' THEN CASE WHEN was = 'calling' AND k IN ('click', 'purchase') THEN 'TOO_MANY_REQUESTS' ELSE 'BAD_REQUEST' END END AS code,
+CASE WHEN state = 'error' THEN CASE WHEN was = 'fallback' THEN 'Fallback failed: ' || CASE k WHEN 'click' THEN '{"error":{"message":"try again in ' || event_id % 13 || '.5s"}}' WHEN 'purchase' THEN '{"error":{"message":"slow down"}}' WHEN 'error' THEN '{"error":{"message":"max_tokens must be less than or equal to 16384"}}' ELSE 'out of order' END
+  ELSE CASE k WHEN 'click' THEN 'try again in ' || event_id % 13 || '.5s' WHEN 'purchase' THEN 'slow down' WHEN 'error' THEN 'max_tokens must be less than or equal to 16384' ELSE 'Groq API error (500)' END END END AS message FROM ends""")
+def p14_p15_retry_loop(read):
+    """A request for each user and day, whose calls get the day's events as their answers."""
+    answers = read("events").selectExpr(
+        "user_id * 100 + day(ts) AS request", "row_number() OVER (PARTITION BY user_id, day(ts) ORDER BY ts, event_id) AS call", "CASE event_type WHEN 'view' THEN 200 WHEN 'click' THEN 429 WHEN 'purchase' THEN 429 WHEN 'error' THEN 400 ELSE 500 END AS status",
+        """CASE event_type WHEN 'view' THEN to_json(named_struct('choices', array(named_struct('message', named_struct('content', props))))) WHEN 'click' THEN concat('{"error":{"message":"try again in ', event_id % 13, '.5s"}}')
+        WHEN 'purchase' THEN '{"error":{"message":"slow down"}}' WHEN 'error' THEN '{"error":{"message":"max_tokens must be less than or equal to 16384"}}' ELSE 'out of order' END AS body""",
+    )
+    requests = answers.select("request").distinct().withColumn("model", F.lit("asked"))
+    return retries.ended(requests, "request", "model", answers, "call", "status", "body")
+
+
+def stand_in_worker(prompt: str, model: str) -> str:
+    """In place of a service: it edits, fails, says nothing of use, or leaves as it is, by the number of the chunk, and is late for a few documents."""
+    head, rest = prompt.split("```latex\n", 1)
+    chunk, request = rest.rsplit("\n```", 1)
+    k, doc = int(head.split("\n")[0].split(": ")[1]), int(request.rsplit(": ", 1)[1])
+    if doc % 400 == 7 and k == 1:
+        time.sleep(60)
+    if k % 4 == 2:
+        raise ValueError(f"worker {model} failed")
+    return [f"```\nleft alone\n```\nCHANGES_SUMMARY: no change", f"CHUNK_ID: {k}\nUPDATED_LATEX:\n```latex\nedited {chunk}\n```\nCHANGES_SUMMARY: edited", "", "done, I think"][k % 4]
+
+
+WORKED_SQL = CHUNKS_SQL.rstrip().rstrip(",") + r""",
+tasks AS (SELECT doc_id, unnest(chunks) AS chunk, generate_subscripts(chunks, 1) AS id, len(chunks) AS total FROM chunked),
+taken AS (SELECT *, CASE WHEN TAKEN THEN rtrim('edited ' || chunk, ' ' || chr(9) || chr(10) || chr(13)) ELSE chunk END AS text, CASE STATUS ELSE 'completed' END AS status FROM tasks),
+merged AS (SELECT doc_id, string_agg(text, chr(10) ORDER BY id) AS body, string_agg(status, chr(10) ORDER BY id) AS statuses, count(*) FILTER (WHERE status <> 'completed') AS n_failed FROM taken GROUP BY doc_id)
+SELECT doc_id, md5(CASE WHEN doc_id % 3 = 0 THEN '\documentclass{article}' || chr(10) || '\begin{document}' || chr(10) || body || chr(10) || '\end{document}' || chr(10) ELSE body END) AS merged_md5, statuses, n_failed FROM merged"""
+
+
+def merged_with_statuses(rows: DataFrame) -> DataFrame:
+    held = edits.gather(rows, "doc_id", "preamble")
+    failed = F.size(F.filter("statuses", lambda s: s != "completed")).cast("long")
+    return held.select("doc_id", F.md5(edits.assembled(F.col("preamble"), F.col("chunks")).cast("binary")).alias("merged_md5"), F.array_join("statuses", "\n").alias("statuses"), failed.alias("n_failed"))
+
+
+MODEL_SQL = "['" + "', '".join(edits.WORKER_MODELS) + "'][((id - 1) % 6 + 1)::INTEGER]"
+
+
+@query(WORKED_SQL.replace("TAKEN", "id % 4 = 1 AND NOT (doc_id % 400 = 7 AND id = 1)").replace("STATUS", f"WHEN doc_id % 400 = 7 AND id = 1 THEN 'error: timed out after 4 seconds' WHEN id % 4 = 2 THEN 'error: worker ' || {MODEL_SQL} || ' failed'"))
+def p2_p4_isolated_workers(read):
+    """Chunks are dealt out to workers, of which some fail and some are late; the documents come together all the same."""
+    tasks = edits.scatter(splitter.split(latex(read), "doc_id", "code", edits.TARGET_CHUNKS), "doc_id", "preamble")
+    prompt = t.chunk_prompt(F.col("chunk_id"), F.col("total"), F.col("chunk"), F.col("doc_id").cast("string"))
+    done = workers.worked(tasks.withColumn("prompt", prompt), "doc_id", "prompt", stand_in_worker, seconds=4)
+    return merged_with_statuses(edits.with_replies(tasks, done, "doc_id"))
+
+
+@query(WORKED_SQL.replace("TAKEN", "(doc_id + id) % 7 <> 3").replace("STATUS", "WHEN (doc_id + id) % 7 = 3 THEN 'error: no reply'"))
+def p3_p4_replies_by_table(read):
+    """Replies are a table: out of order, some missing, some there twice, of which the later one comes to nothing."""
+    tasks = edits.scatter(splitter.split(latex(read), "doc_id", "code", edits.TARGET_CHUNKS), "doc_id", "preamble")
+    texts = F.expr("""CASE WHEN (doc_id + chunk_id) % 7 = 3 THEN array() WHEN (doc_id + chunk_id) % 5 = 1 THEN array('edited ', 'too late ') ELSE array('edited ') END""")
+    replies = tasks.select("doc_id", "chunk_id", "chunk", F.posexplode(texts).alias("at", "head"))
+    reply = F.concat(F.lit("UPDATED_LATEX:\n```latex\n"), "head", "chunk", F.lit("\n```"))
+    return merged_with_statuses(edits.with_replies(tasks, replies.select("doc_id", "chunk_id", reply.alias("reply"), "at"), "doc_id", "at"))
+
+
+@query("""
+WITH o AS (SELECT o_custkey, string_agg(o_orderpriority, '' ORDER BY o_orderkey || '.txt') AS whole, bool_or(o_custkey % 7 = 5 AND o_orderkey % 4 = 1) AS escapes, string_agg('../' || o_orderkey || '.txt', ',' ORDER BY '../' || o_orderkey || '.txt') FILTER (WHERE o_custkey % 7 = 5 AND o_orderkey % 4 = 1) AS outside FROM orders GROUP BY o_custkey)
+SELECT o_custkey, CASE WHEN escapes OR o_custkey % 500 = 3 OR o_custkey % 5 = 2 THEN NULL ELSE sha256(whole) END AS product, CASE WHEN escapes THEN 'Invalid filename (path traversal): ' || split_part(outside, ',', 1) WHEN o_custkey % 500 = 3 THEN 'timed out after 4 seconds'
+WHEN o_custkey % 5 = 2 THEN 'broken' || chr(10) || chr(10) || 'Command failed: sh main.tex' WHEN o_custkey % 5 = 4 THEN 'made' || chr(10) || chr(10) || 'Command failed: sh main.tex' ELSE 'made' || chr(10) END AS logs,
+NOT escapes AND o_custkey % 500 <> 3 AND o_custkey % 5 <> 2 AS success FROM o""")
+def p11_supervised(read):
+    """A shell in place of a compiler puts a customer's order files together; it fails with and without a product, goes beyond its time, and is refused files outside its folder."""
+    orders = read("orders")
+    name = F.expr("concat(CASE WHEN o_custkey % 7 = 5 AND o_orderkey % 4 = 1 THEN '../' ELSE '' END, o_orderkey, '.txt')")
+    script = F.expr("CASE WHEN o_custkey % 500 = 3 THEN 'sleep 600 & sleep 600' WHEN o_custkey % 5 = 2 THEN 'echo broken >&2; exit 3' WHEN o_custkey % 5 = 4 THEN 'cat [0-9]*.txt > main.pdf; echo made; exit 12' ELSE 'cat [0-9]*.txt > main.pdf; echo made' END")
+    files = orders.select("o_custkey", name.alias("name"), F.col("o_orderpriority").cast("binary").alias("data"))
+    main = orders.select("o_custkey").distinct().select("o_custkey", F.lit("main.tex").alias("name"), script.cast("binary").alias("data"))
+    rows = processes.compiled(main.unionByName(files), "o_custkey", "name", "data", ["sh", "main.tex"], "main.pdf", limit=4)
+    return rows.select("o_custkey", F.sha2("pdf", 256).alias("product"), "logs", "success")
+
+
+# ---- writes that land, batches of requests, logs
+
+
+@query("""
+SELECT o_orderkey, o_custkey, CASE WHEN o_custkey % 50 = 20 AND o_orderkey % 13 <> 4 THEN 'renamed' ELSE o_orderstatus END AS o_orderstatus, o_orderpriority FROM orders WHERE o_orderkey % 97 <> 5
+UNION ALL SELECT -s_suppkey, s_nationkey, 'new', s_name FROM supplier""")
+def snk5_landed_changes(read):
+    """A table in folders by key takes an update, a deletion and an insertion one after the other, and is read back."""
+    orders = read("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    landed = tables.created(orders, "o_orderkey", new_folder(orders.sparkSession, "table"), 16)
+    changes = orders.where("o_custkey % 50 = 20").select("o_orderkey", F.expr("CASE WHEN o_orderkey % 13 <> 4 THEN 'renamed' END").alias("o_orderstatus"), F.lit(None).cast("string").alias("o_orderpriority"))
+    tables.updated(landed, changes, "o_orderstatus", "o_orderpriority")
+    tables.deleted(landed, orders.where("o_orderkey % 97 = 5"))
+    tables.inserted(landed, read("supplier").select((-F.col("s_suppkey")).alias("o_orderkey"), F.col("s_nationkey").cast("long").alias("o_custkey"), F.lit("new").alias("o_orderstatus"), F.col("s_name").alias("o_orderpriority")))
+    return landed.rows()
+
+
+#: Events as requests: customers are files of their nation, regions own nations.
+REQUESTED = [
+    "event_id AS request", "CASE event_type WHEN 'purchase' THEN 'create' WHEN 'error' THEN 'delete' WHEN 'click' THEN 'rename' ELSE 'update' END AS op", "event_id % 5 AS asker", "user_id % 40 * 9 + event_id % 7 + CASE WHEN event_id % 4 = 1 THEN 1000000 ELSE 0 END AS file",
+    "user_id % 27 AS project", "CASE WHEN event_id % 17 = 0 THEN '' ELSE concat(event_type, '-', event_id) END AS name", "CASE WHEN event_id % 19 <> 0 THEN props END AS content",
+]
+
+#: One request after the other of each file, with what is known of the file.
+REQUESTS_SQL = f"""
+WITH RECURSIVE q AS (SELECT {', '.join(REQUESTED)} FROM events),
+v AS (SELECT *, CASE WHEN op IN ('create', 'rename') THEN length(name) BETWEEN 1 AND 255 WHEN op = 'update' THEN content IS NOT NULL ELSE true END AS valid, (SELECT n_regionkey FROM nation WHERE n_nationkey = project) AS asked_of, row_number() OVER (PARTITION BY file ORDER BY request) AS n FROM q),
+start AS (SELECT f.file, c.c_custkey IS NOT NULL AS used, c.c_custkey IS NOT NULL AS alive, n_regionkey AS owner, c_nationkey AS project, c_name AS name, c_mktsegment AS content FROM (SELECT file FROM q UNION SELECT c_custkey FROM customer) f LEFT JOIN customer c ON c_custkey = file LEFT JOIN nation ON n_nationkey = c_nationkey),
+f AS (SELECT file, 0::BIGINT AS n, NULL::BIGINT AS request, NULL::VARCHAR AS outcome, used, alive, owner, project::BIGINT AS project, name, content FROM start UNION ALL
+  SELECT file, n, request, outcome, used OR made, CASE WHEN made THEN true WHEN outcome = 'ok' AND op = 'delete' THEN false ELSE alive END, CASE WHEN made THEN asked_of ELSE owner END, CASE WHEN made THEN new_project ELSE project END,
+    CASE WHEN made OR (outcome = 'ok' AND op = 'rename') THEN new_name ELSE name END, CASE WHEN made THEN coalesce(new_content, '') WHEN outcome = 'ok' AND op = 'update' THEN new_content ELSE content END
+  FROM (SELECT *, outcome = 'ok' AND op = 'create' AS made FROM (SELECT f.file, v.n, v.request, v.op, v.asked_of, v.project AS new_project, v.name AS new_name, v.content AS new_content, f.used, f.alive, f.owner, f.project, f.name, f.content,
+    CASE WHEN NOT v.valid THEN 'invalid' WHEN v.op = 'create' THEN CASE WHEN v.asked_of IS DISTINCT FROM v.asker THEN 'unauthorized' WHEN f.used THEN 'taken' ELSE 'ok' END WHEN f.alive AND f.owner = v.asker THEN 'ok' ELSE 'unauthorized' END AS outcome FROM f JOIN v ON v.file = f.file AND v.n = f.n + 1)))
+"""
+
+
+def requested(read) -> tuple[DataFrame, DataFrame]:
+    """The outcomes and the files that they are about."""
+    files = read("customer").select(F.col("c_custkey").alias("file"), F.col("c_nationkey").cast("long").alias("project"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("content"))
+    projects = read("nation").select(F.col("n_nationkey").cast("long").alias("project"), F.col("n_regionkey").cast("long").alias("owner"))
+    return gate.judged(read("events").selectExpr(*REQUESTED), files, projects), files
+
+
+@query(REQUESTS_SQL + "SELECT request, file, outcome FROM f WHERE n > 0")
+def w3_w9_requests(read):
+    """What becomes of each request of a batch."""
+    return requested(read)[0].select("request", "file", "outcome")
+
+
+@query(REQUESTS_SQL + "SELECT file, project, name, content FROM f JOIN (SELECT file, max(n) AS n FROM f GROUP BY file) USING (file, n) WHERE alive")
+def w3_w9_files_after(read):
+    """The files after the batch."""
+    outcomes, files = requested(read)
+    return gate.applied(files, outcomes)
+
+
+@query("""
+WITH l AS (SELECT user_id, event_id, json_extract_string(props, '$.k') AS element, CASE event_type WHEN 'error' THEN 'remove' WHEN 'purchase' THEN 'replace' WHEN 'signup' THEN 'replace' ELSE 'append' END AS op FROM events),
+r AS (SELECT user_id, element, max(event_id) FILTER (WHERE op = 'remove') AS removed FROM l GROUP BY ALL),
+s AS (SELECT l.user_id, l.element, min(event_id) FILTER (WHERE op = 'append') AS since, max(event_id) AS last FROM l JOIN r ON l.user_id = r.user_id AND l.element = r.element WHERE removed IS NULL OR event_id > removed GROUP BY ALL)
+SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY since)::INTEGER AS place, element, 'edit ' || last AS content FROM s WHERE since IS NOT NULL""")
+def l2_l4_replayed_log(read):
+    """Events as a log of list edits: what each user's list comes to."""
+    op = F.expr("CASE event_type WHEN 'error' THEN 'remove' WHEN 'purchase' THEN 'replace' WHEN 'signup' THEN 'replace' ELSE 'append' END")
+    log = read("events").select("user_id", "event_id", F.get_json_object("props", "$.k").alias("element"), op.alias("op"), F.concat(F.lit("edit "), "event_id").alias("content"))
+    return replay.replayed(log, "user_id", "element", "event_id", "op", "content")
