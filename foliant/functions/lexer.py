@@ -44,7 +44,16 @@ RULES = {
     "mathInlineBracket": math(r"\\\)", "string.math.inline", False),
     "string": [(r'[^\\"]+', "string", None), (r"\\.", "string.escape", None), (r'"', "string", "pop")],
 }
-COMPILED = {s: [(re.compile(p), t, n) for p, t, n in rules] for s, rules in RULES.items()}
+#: What a dot stands for: anything but the ends of lines.
+DOT = "[^\n\r\u2028\u2029]"
+
+
+def compiled(pattern: str) -> re.Pattern:
+    """Classes such as those of digits and words are ASCII, and a dot that is no escaped one and in no brackets ends at any end of a line."""
+    return re.compile(re.sub(r"\\.|\[(?:\\.|[^\]\\])*\]|\.", lambda m: DOT if m[0] == "." else m[0], pattern), re.ASCII)
+
+
+COMPILED = {s: [(compiled(p), t, n) for p, t, n in rules] for s, rules in RULES.items()}
 
 
 def tokens(text: str) -> Iterator[tuple[int, int, int, str]]:

@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from foliant.functions import checks as v
 from foliant.functions import text as t
 from foliant.functions.lexer import tokenised
-from foliant.functions.snippets import snippets
 from foliant.operators import collections as c
 from foliant.operators import reads, replay, writes
 from foliant.operators import requests as gate
@@ -31,7 +30,7 @@ from foliant.streaming import debounce, feeds, timers
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-OWNER, PROJECT = 370, 33
+OWNER, PROJECT = 37, 33
 
 
 def query(sql: str | None = None) -> Callable:
@@ -51,7 +50,7 @@ def query(sql: str | None = None) -> Callable:
 # ---- reads
 
 
-@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate FROM orders WHERE o_custkey = 370 ORDER BY o_orderdate DESC, o_orderkey")
+@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate FROM orders WHERE o_custkey = 37 ORDER BY o_orderdate DESC, o_orderkey")
 def r1_owner_list(read):
     return reads.newest_first(read("orders"), "o_custkey", OWNER, "o_orderdate", "o_orderkey").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate")
 
@@ -101,7 +100,7 @@ def r8_except_active(read):
     return reads.children_except(read("lineitem"), "l_orderkey", PROJECT, "l_linenumber", 1)
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_custkey = 370)")
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_custkey = 37)")
 def r9_owner_semi(read):
     return reads.owned(read("lineitem"), "l_orderkey", read("orders"), "o_orderkey", "o_custkey", OWNER).select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
 
@@ -194,7 +193,7 @@ def w_returning(read):
 
 
 @query("""
-SELECT doc_id, length(text) BETWEEN 1 AND 100 AND length(source) <= 500 AS project_ok, length(lang || source) BETWEEN 1 AND 255 AS file_ok, length(source) >= 1 AND lang IN ('image', 'file') AS asset_ok, length(text) > 0 AS source_ok,
+SELECT doc_id, length(text) BETWEEN 1 AND 100 AND length(source) <= 500 AS project_ok, length(lang || source) BETWEEN 1 AND 255 AS file_ok, length(source) >= 1 AND doc_id % 3 < 2 AS asset_ok, length(text) > 0 AS source_ok,
 length(source) >= 8 AS password_ok, doc_id % 2 = 0 AS uuid_ok, CASE WHEN doc_id % 3 = 0 THEN 'tex' ELSE lang END AS kind, CASE WHEN doc_id % 4 = 0 THEN '' ELSE source END AS content, CASE WHEN doc_id % 5 = 0 THEN 'qwen-qwq-32b' ELSE lang END AS model FROM documents""")
 def v_checks(read):
     text, lang, source = F.col("text"), F.col("lang"), F.col("source")
@@ -202,7 +201,7 @@ def v_checks(read):
     uuid = F.expr(r"regexp_replace(md5(cast(text AS binary)), '^(.{8})(.{4}).(.{3}).(.{3})(.{12})$', concat('$1-$2-', if(doc_id % 2 = 0, '4', '0'), '$3-a$4-$5'))")
     fields = v.with_defaults(source, F.expr("CASE WHEN doc_id % 3 <> 0 THEN lang END"), F.expr("CASE WHEN doc_id % 4 <> 0 THEN source END"))
     return read("documents").select(
-        "doc_id", v.project_ok(text, source).alias("project_ok"), v.file_name_ok(F.concat(lang, source)).alias("file_ok"), v.asset_ok(source, lang).alias("asset_ok"), v.source_ok(text).alias("source_ok"),
+        "doc_id", v.project_ok(text, source).alias("project_ok"), v.file_name_ok(F.concat(lang, source)).alias("file_ok"), v.asset_ok(source, F.expr("CASE doc_id % 3 WHEN 0 THEN 'image' WHEN 1 THEN 'file' ELSE lang END")).alias("asset_ok"), v.source_ok(text).alias("source_ok"),
         v.password_ok(source).alias("password_ok"), v.is_uuid(uuid).alias("uuid_ok"), fields["type"].alias("kind"), fields["content"].alias("content"), v.model_or_default(F.expr("CASE WHEN doc_id % 5 <> 0 THEN lang END")).alias("model"),
     )
 
@@ -372,11 +371,6 @@ def t31_tokens(read):
     return tokenised(rows, "doc_id", "code").groupBy("doc_id", "kind").agg(F.count("*").alias("n"))
 
 
-@query(r"SELECT label FROM (VALUES ('\documentclass'), ('\usepackage'), ('\begin'), ('\end'), ('\section'), ('\subsection'), ('\textbf'), ('\textit'), ('\underline'), ('\includegraphics'), ('\frac'), ('\sum')) AS s(label)")
-def t32_snippets(read):
-    return snippets(read("region").sparkSession).select("label")
-
-
 # ---- splitting
 
 #: Texts with an opening line, environments and blank lines, composed of the documents' lines.

@@ -115,3 +115,14 @@ def test_states_over_a_stream(spark, tmp_path):
     final = {(r.edit, r.status, r.valid) for r in debounce.final_states(whole, "edit", "seq", "status").collect()}
     assert final == {(1, "applied", True), (2, "done", False), (3, "applied", False)}
     assert final <= got
+
+
+def test_splitting_stays_in_the_row(spark):
+    """No line is shuffled, and long documents with many environments are split as by hand."""
+    rng = random.Random(8)
+    docs = ["\n".join(rng.choice(["text", "\\begin{figure}", "\\end{figure}", "\\begin{align*}\\end{align}", "", "\\end{figure}\\begin{table}", "\\end{table}"]) for _ in range(n)) for n in (3000, 6000, 12)]
+    rows = spark.createDataFrame(list(enumerate(docs)), "k int, x string")
+    held = splitter.split(rows, "k", "x", 6)
+    assert "Exchange" not in held._jdf.queryExecution().executedPlan().toString()
+    assert {r.k: (r.preamble, r.chunks) for r in held.collect()} == {k: by_hand(d, 6) for k, d in enumerate(docs)}
+    assert "Exchange" not in splitter.safe_lines(splitter.parts(rows, "k", "x"), "k")._jdf.queryExecution().executedPlan().toString()
