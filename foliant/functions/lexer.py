@@ -53,7 +53,8 @@ def compiled(pattern: str) -> re.Pattern:
     return re.compile(re.sub(r"\\.|\[(?:\\.|[^\]\\])*\]|\.", lambda m: DOT if m[0] == "." else m[0], pattern), re.ASCII)
 
 
-COMPILED = {s: [(compiled(p), t, n) for p, t, n in rules] for s, rules in RULES.items()}
+#: The rules of a state in one pattern; its search finds the first place where any of them matches, and of these the first.
+COMPILED = {s: re.compile("|".join(f"(?P<r{k}>{compiled(p).pattern})" for k, (p, _, _) in enumerate(rules)), re.ASCII) for s, rules in RULES.items()}
 
 
 def tokens(text: str) -> Iterator[tuple[int, int, int, str]]:
@@ -61,19 +62,14 @@ def tokens(text: str) -> Iterator[tuple[int, int, int, str]]:
     states = ["root"]
     for number, line in enumerate(text.split("\n")):
         at = 0
-        while at < len(line):
-            for pattern, kind, to in COMPILED[states[-1]]:
-                m = pattern.match(line, at)
-                if m and m.end() > at:
-                    yield number, at, m.end(), kind
-                    at = m.end()
-                    if to == "pop":
-                        states.pop()
-                    elif to:
-                        states.append(to)
-                    break
-            else:
-                at += 1
+        while m := COMPILED[states[-1]].search(line, at):
+            _, kind, to = RULES[states[-1]][int(m.lastgroup[1:])]
+            yield number, m.start(), m.end(), kind
+            at = m.end()
+            if to == "pop":
+                states.pop()
+            elif to:
+                states.append(to)
 
 
 def tokenised(docs: DataFrame, key: str, text: str) -> DataFrame:

@@ -8,6 +8,7 @@ composed of their columns, in the same way on both sides.
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Callable
 
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import checks as v
 from foliant.functions import text as t
-from foliant.functions.lexer import tokenised
+from foliant.functions.lexer import RULES, tokenised
 from foliant.operators import collections as c
 from foliant.operators import reads, replay, writes
 from foliant.operators import requests as gate
@@ -364,11 +365,42 @@ def t29_t30_prompts(read):
     return read("documents").select("doc_id", F.md5(prompt.cast("binary")).alias("prompt"), t.worker_lines(F.array(F.lit("completed"), "lang", "source"), ["a", "b"]).alias("lines"))
 
 
-@query()
+def lexer_sql() -> str:
+    """Tokens one after the other, for each document: the rest of a line against all rules of the state at once.
+
+    DuckDB's patterns can't look behind, so names of environments are found by what comes before the place. Runs of plain
+    characters in formulas, which are tokens each, are taken at once and dealt out at the end.
+    """
+    end = r"\n\r\x{2028}\x{2029}"
+    matches, kinds = [], []
+    for state, rules in RULES.items():
+        kept = [r for r in rules if not r[0].startswith("(?<=")]
+        groups = []
+        for pattern, _, _ in kept:
+            found = re.sub(r"\\.|\[(?:\\.|[^\]\\])*\]|\.|\((?!\?)", lambda m: {".": f"[^{end}]", "(": "(?:"}.get(m[0], m[0]), pattern)
+            groups.append(rf"((?:[^\\{{}}()\[\]_^\-+*/=<>$%{end}]+)|[^{end}])" if pattern == "." else f"({found})")
+        whole = f"^(?s:(.*?))(?:{'|'.join(groups)})"
+        names = ["skip", *(f"{state}{k}" for k in range(len(kept)))]
+        matches.append(f"CASE WHEN state = '{state}' THEN regexp_extract(rest, '{whole}', {names}) END AS {state}")
+        for k, (pattern, kind, to) in enumerate(kept):
+            hit = f"{state}.{state}{k} <> ''"
+            kinds.append(f"WHEN {hit} THEN {{'skip': {state}.skip, 'found': {state}.{state}{k}, 'kind': '{kind}', 'each': {'true' if pattern == '.' else 'false'}, 'next': '{'root' if to == 'pop' else to or state}'}}")
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, string_split('\\section{{' || lang || '}} $x_1 + ' || doc_id || '$ % ' || source || chr(10) || replace(text, '|', '$'), chr(10)) AS lines FROM documents),
+t AS (SELECT doc_id, 0::BIGINT AS line, 0::BIGINT AS pos, 'root' AS state, NULL::BIGINT AS a, NULL::BIGINT AS b, NULL::VARCHAR AS kind, false AS each FROM d UNION ALL
+  SELECT doc_id, CASE WHEN m IS NULL THEN line + 1 ELSE line END, CASE WHEN m IS NULL THEN 0 ELSE pos + length(m.skip) + length(m.found) END, coalesce(m.next, state), pos + length(m.skip), pos + length(m.skip) + length(m.found), m.kind, coalesce(m.each, false)
+  FROM (SELECT *, CASE WHEN named <> '' THEN {{'skip': '', 'found': named, 'kind': 'type.environment', 'each': false, 'next': 'root'}} {' '.join(kinds)} END AS m
+    FROM (SELECT *, {', '.join(matches)}, CASE WHEN state = 'root' AND regexp_matches(front, '\\\\(begin|end)\\{{$') AND regexp_matches(rest, '^[a-zA-Z0-9*]+\\}}') THEN regexp_extract(rest, '^[a-zA-Z0-9*]+') ELSE '' END AS named
+      FROM (SELECT t.doc_id, t.line, t.pos, t.state, substr(lines[t.line + 1], t.pos + 1) AS rest, substr(lines[t.line + 1], 1, t.pos) AS front FROM t JOIN d USING (doc_id) WHERE t.line < len(lines)))))
+SELECT doc_id, line::INTEGER AS line, a::INTEGER AS start, b::INTEGER AS "end", kind FROM t WHERE kind IS NOT NULL AND NOT each UNION ALL
+SELECT doc_id, line::INTEGER, k::INTEGER, (k + 1)::INTEGER, kind FROM (SELECT doc_id, line, kind, unnest(range(a, b)) AS k FROM t WHERE each)"""
+
+
+@query(lexer_sql())
 def t31_tokens(read):
+    """All tokens of all documents with their places, behind a first line that has a command, a formula and a comment."""
     code = F.concat(F.lit("\\section{"), "lang", F.lit("} $x_1 + "), F.col("doc_id").cast("string"), F.lit("$ % "), "source", F.lit("\n"), F.regexp_replace("text", r"\|", "\\$"))
-    rows = read("documents").select("doc_id", code.alias("code"))
-    return tokenised(rows, "doc_id", "code").groupBy("doc_id", "kind").agg(F.count("*").alias("n"))
+    return tokenised(read("documents").select("doc_id", code.alias("code")), "doc_id", "code")
 
 
 # ---- splitting

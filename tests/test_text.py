@@ -1,8 +1,10 @@
+import random
+
 from pyspark.sql import functions as F
 
 from foliant.functions import checks
 from foliant.functions import text as t
-from foliant.functions.lexer import tokens
+from foliant.functions.lexer import RULES, compiled, tokens
 from foliant.plans import compiling, edits
 
 FENCE = "```"
@@ -72,3 +74,31 @@ def test_outcome(spark):
 def test_lexer():
     got = [(line, a, b, kind) for line, a, b, kind in tokens("\\a{1.5} % c\n$x$\\%")]
     assert [(k, n) for n, *_, k in got] == [("keyword", 0), ("delimiter", 0), ("number.float", 0), ("delimiter", 0), ("comment", 0), ("string.math.inline", 1), ("string.math.inline", 1), ("string.math.inline", 1), ("constant.escape", 1)]
+
+
+def test_lexer_classes():
+    """Letters and digits are ASCII; a comment reaches to the end of its line or is none."""
+    assert list(tokens("\\é1 ٣")) == [(0, 2, 3, "number")]
+    assert list(tokens("% a\rb")) == [] and list(tokens("% a\u2028")) == [] and list(tokens("%")) == [(0, 0, 1, "comment")]
+    assert [k for *_, k in tokens("\\begin{a*} \\end{b}{c}")] == ["keyword", "delimiter", "type.environment", "delimiter", "keyword", "delimiter", "type.environment", "delimiter", "delimiter", "delimiter"]
+    assert [(a, k) for _, a, _, k in tokens("$a\r$ 1")] == [(0, "string.math.inline"), (1, "string.math.inline"), (3, "string.math.inline"), (5, "number")]
+
+
+def test_lexer_rule_by_rule():
+    """The first rule of the state that matches at a place, place by place."""
+    rng = random.Random(9)
+    pieces = ["\\a", "\\@b", "\\%", "\\[", "\\]", "\\(", "\\)", "$", "$$", "%", "{", "}", '"', "\\begin{x}", "1.5e3", "12", " ", "é", "\r", "\n", "+", "\\\\", "\\", "\u2028", "word"]
+    for _ in range(400):
+        text, want, states = "".join(rng.choices(pieces, k=rng.randint(0, 25))), [], ["root"]
+        for number, line in enumerate(text.split("\n")):
+            at = 0
+            while at < len(line):
+                for pattern, kind, to in RULES[states[-1]]:
+                    if m := compiled(pattern).match(line, at):
+                        want.append((number, at, m.end(), kind))
+                        at = m.end()
+                        states = states[:-1] if to == "pop" else [*states, to] if to else states
+                        break
+                else:
+                    at += 1
+        assert list(tokens(text)) == want, text
