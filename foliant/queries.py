@@ -804,20 +804,25 @@ def snk5_landed_changes(read):
 
 #: Events as requests: customers are files of their nation, regions own nations.
 REQUESTED = [
-    "event_id AS request", "CASE event_type WHEN 'purchase' THEN 'create' WHEN 'error' THEN 'delete' WHEN 'click' THEN 'rename' ELSE 'update' END AS op", "event_id % 5 AS asker", "user_id % 40 * 9 + event_id % 7 + CASE WHEN event_id % 4 = 1 THEN 1000000 ELSE 0 END AS file",
+    "event_id AS request", "CASE WHEN event_id % 251 = 3 THEN 'delete_project' WHEN event_id % 31 = 5 THEN 'update_project' ELSE CASE event_type WHEN 'purchase' THEN 'create' WHEN 'error' THEN 'delete' WHEN 'click' THEN 'rename' ELSE 'update' END END AS op", "event_id % 5 AS asker", "user_id % 40 * 9 + event_id % 7 + CASE WHEN event_id % 4 = 1 THEN 1000000 ELSE 0 END AS file",
     "user_id % 27 AS project", "CASE WHEN event_id % 17 = 0 THEN '' ELSE concat(event_type, '-', event_id) END AS name", "CASE WHEN event_id % 19 <> 0 THEN props END AS content",
+    "CASE WHEN event_id % 23 = 0 THEN repeat('x', 501) WHEN event_id % 3 = 0 THEN props END AS description",
 ]
 
-#: One request after the other of each file, with what is known of the file.
+#: One request after the other of each file, with what is known of the file; projects end by their own requests.
 REQUESTS_SQL = f"""
 WITH RECURSIVE q AS (SELECT {', '.join(REQUESTED)} FROM events),
-v AS (SELECT *, CASE WHEN op IN ('create', 'rename') THEN length(name) BETWEEN 1 AND 255 WHEN op = 'update' THEN content IS NOT NULL ELSE true END AS valid, (SELECT n_regionkey FROM nation WHERE n_nationkey = project) AS asked_of, row_number() OVER (PARTITION BY file ORDER BY request) AS n FROM q),
-start AS (SELECT f.file, c.c_custkey IS NOT NULL AS used, c.c_custkey IS NOT NULL AS alive, n_regionkey AS owner, c_nationkey AS project, c_name AS name, c_mktsegment AS content FROM (SELECT file FROM q UNION SELECT c_custkey FROM customer) f LEFT JOIN customer c ON c_custkey = file LEFT JOIN nation ON n_nationkey = c_nationkey),
-f AS (SELECT file, 0::BIGINT AS n, NULL::BIGINT AS request, NULL::VARCHAR AS outcome, used, alive, owner, project::BIGINT AS project, name, content FROM start UNION ALL
+w AS (SELECT *, CASE WHEN op IN ('create', 'rename') THEN length(name) BETWEEN 1 AND 255 WHEN op = 'update' THEN content IS NOT NULL WHEN op = 'update_project' THEN length(name) BETWEEN 1 AND 100 AND (description IS NULL OR length(description) <= 500) ELSE true END AS valid, (SELECT n_regionkey FROM nation WHERE n_nationkey = project) AS asked_of FROM q),
+ends AS (SELECT project, min(request) AS until FROM w WHERE op = 'delete_project' AND asked_of = asker GROUP BY project),
+of_projects AS (SELECT w.*, CASE WHEN NOT valid THEN 'invalid' WHEN asked_of = asker AND (until IS NULL OR request <= until) THEN 'ok' ELSE 'unauthorized' END AS outcome FROM w LEFT JOIN ends USING (project) WHERE op IN ('update_project', 'delete_project')),
+v AS (SELECT w.*, until AS asked_until, row_number() OVER (PARTITION BY file ORDER BY request) AS n FROM w LEFT JOIN ends USING (project) WHERE op NOT IN ('update_project', 'delete_project')),
+start AS (SELECT f.file, c.c_custkey IS NOT NULL AS used, c.c_custkey IS NOT NULL AS alive, n_regionkey AS owner, c_nationkey AS project, c_name AS name, c_mktsegment AS content, until FROM (SELECT file FROM v UNION SELECT c_custkey FROM customer) f LEFT JOIN customer c ON c_custkey = file LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN ends ON ends.project = c_nationkey),
+f AS (SELECT file, 0::BIGINT AS n, NULL::BIGINT AS request, NULL::VARCHAR AS outcome, used, alive, owner, project::BIGINT AS project, name, content, until FROM start UNION ALL
   SELECT file, n, request, outcome, used OR made, CASE WHEN made THEN true WHEN outcome = 'ok' AND op = 'delete' THEN false ELSE alive END, CASE WHEN made THEN asked_of ELSE owner END, CASE WHEN made THEN new_project ELSE project END,
-    CASE WHEN made OR (outcome = 'ok' AND op = 'rename') THEN new_name ELSE name END, CASE WHEN made THEN coalesce(new_content, '') WHEN outcome = 'ok' AND op = 'update' THEN new_content ELSE content END
-  FROM (SELECT *, outcome = 'ok' AND op = 'create' AS made FROM (SELECT f.file, v.n, v.request, v.op, v.asked_of, v.project AS new_project, v.name AS new_name, v.content AS new_content, f.used, f.alive, f.owner, f.project, f.name, f.content,
-    CASE WHEN NOT v.valid THEN 'invalid' WHEN v.op = 'create' THEN CASE WHEN v.asked_of IS DISTINCT FROM v.asker THEN 'unauthorized' WHEN f.used THEN 'taken' ELSE 'ok' END WHEN f.alive AND f.owner = v.asker THEN 'ok' ELSE 'unauthorized' END AS outcome FROM f JOIN v ON v.file = f.file AND v.n = f.n + 1)))
+    CASE WHEN made OR (outcome = 'ok' AND op = 'rename') THEN new_name ELSE name END, CASE WHEN made THEN coalesce(new_content, '') WHEN outcome = 'ok' AND op = 'update' THEN new_content ELSE content END, CASE WHEN made THEN asked_until ELSE until END
+  FROM (SELECT *, outcome = 'ok' AND op = 'create' AS made FROM (SELECT f.file, v.n, v.request, v.op, v.asked_of, v.asked_until, v.project AS new_project, v.name AS new_name, v.content AS new_content, f.used, f.alive, f.owner, f.project, f.name, f.content, f.until,
+    CASE WHEN NOT v.valid THEN 'invalid' WHEN v.op = 'create' THEN CASE WHEN v.asked_of IS DISTINCT FROM v.asker OR v.request > v.asked_until THEN 'unauthorized' WHEN f.used THEN 'taken' ELSE 'ok' END
+      WHEN f.alive AND f.owner = v.asker AND (f.until IS NULL OR v.request < f.until) THEN 'ok' ELSE 'unauthorized' END AS outcome FROM f JOIN v ON v.file = f.file AND v.n = f.n + 1)))
 """
 
 
@@ -828,19 +833,27 @@ def requested(read) -> tuple[DataFrame, DataFrame]:
     return gate.judged(read("events").selectExpr(*REQUESTED), files, projects), files
 
 
-@query(REQUESTS_SQL + "SELECT request, file, outcome FROM f WHERE n > 0")
+@query(REQUESTS_SQL + "SELECT request, file, outcome FROM f WHERE n > 0 UNION ALL SELECT request, file, outcome FROM of_projects")
 def w3_w9_requests(read):
     """What becomes of each request of a batch."""
     return requested(read)[0].select("request", "file", "outcome")
 
 
-@query(REQUESTS_SQL + "SELECT file, project, name, content FROM f JOIN (SELECT file, max(n) AS n FROM f GROUP BY file) USING (file, n) WHERE alive")
+@query(REQUESTS_SQL + "SELECT file, project, name, content FROM f JOIN (SELECT file, max(n) AS n FROM f GROUP BY file) USING (file, n) WHERE alive AND until IS NULL")
 def w3_w9_files_after(read):
     """The files after the batch."""
     outcomes, files = requested(read)
     return gate.applied(files, outcomes)
 
 
+@query(REQUESTS_SQL + """SELECT n_nationkey::BIGINT AS project, n_regionkey::BIGINT AS owner, coalesce(max_by(name, request) FILTER (outcome = 'ok' AND op = 'update_project'), any_value(n_name)) AS name,
+max_by(description, request) FILTER (outcome = 'ok' AND op = 'update_project' AND description IS NOT NULL) AS description FROM nation LEFT JOIN of_projects ON project = n_nationkey GROUP BY n_nationkey, n_regionkey HAVING NOT coalesce(bool_or(outcome = 'ok' AND op = 'delete_project'), false)""")
+def w7_w8_projects_after(read):
+    """The projects after the batch."""
+    projects = read("nation").select(F.col("n_nationkey").cast("long").alias("project"), F.col("n_regionkey").cast("long").alias("owner"), F.col("n_name").alias("name"), F.lit(None).cast("string").alias("description"))
+    return gate.applied_projects(projects, requested(read)[0])
+
+
 @query("""
 WITH l AS (SELECT user_id, event_id, json_extract_string(props, '$.k') AS element, CASE event_type WHEN 'error' THEN 'remove' WHEN 'purchase' THEN 'replace' WHEN 'signup' THEN 'replace' ELSE 'append' END AS op FROM events),
 r AS (SELECT user_id, element, max(event_id) FILTER (WHERE op = 'remove') AS removed FROM l GROUP BY ALL),

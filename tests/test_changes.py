@@ -47,46 +47,60 @@ def test_only_touched_folders_change(spark, tmp_path):
     assert seen() == rows | {5: (None, 7)}
 
 
-def by_hand(batch, files, owners):
+def by_hand(batch, files, projects):
     """One request after the other."""
-    held, used, out = {f: [p, n, c, owners.get(p)] for f, p, n, c in files}, {f[0] for f in files}, {}
-    for request, op, asker, file, project, name, content in sorted(batch, key=lambda r: r[0]):
-        named = name is not None and 1 <= len(name) <= 255
-        if op not in requests.OPS or file is None or (op in ("create", "rename") and not named) or (op == "update" and content is None) or (op == "create" and project is None):
+    alive, held, used, out = {p[0]: list(p) for p in projects}, {f[0]: list(f) for f in files}, {f[0] for f in files}, {}
+    for request, op, asker, file, project, name, content, description in sorted(batch, key=lambda r: r[0]):
+        on_file, on_project = op in requests.OPS, op in requests.PROJECT_OPS
+        most = 100 if on_project else 255
+        named = name is not None and 1 <= len(name) <= most
+        wrong = (on_file and file is None) or (op in ("create", *requests.PROJECT_OPS) and project is None) or (op in ("create", "rename") and not named) or (op == "update" and content is None)
+        if not (on_file or on_project) or wrong or (op == "update_project" and ((name is not None and not named) or len(description or "") > 500)):
             out[request] = "invalid"
-        elif op == "create":
-            out[request] = "unauthorized" if asker is None or owners.get(project) != asker else "taken" if file in used else "ok"
-            if out[request] == "ok":
-                held[file], used = [project, name, content or "", asker], used | {file}
-        elif file not in held or asker is None or held[file][3] != asker:
+            continue
+        at = project if on_project or op == "create" else held.get(file, [None, None])[1]
+        if asker is None or at not in alive or alive[at][1] != asker or (on_file and op != "create" and file not in held):
             out[request] = "unauthorized"
+        elif op == "create" and file in used:
+            out[request] = "taken"
         else:
             out[request] = "ok"
-            if op == "delete":
+            if op == "create":
+                held[file], used = [file, project, name, content or ""], used | {file}
+            elif op == "delete":
                 del held[file]
+            elif op in ("rename", "update"):
+                held[file][2 if op == "rename" else 3] = name if op == "rename" else content
+            elif op == "delete_project":
+                del alive[project]
+                held = {f: v for f, v in held.items() if v[1] != project}
             else:
-                held[file][1 if op == "rename" else 2] = name if op == "rename" else content
-    return out, sorted((f, *v[:3]) for f, v in held.items())
+                alive[project][2:] = [alive[project][2] if name is None else name, alive[project][3] if description is None else description]
+    return out, sorted(map(tuple, held.values())), sorted(map(tuple, alive.values()))
 
 
 def test_requests_in_their_order(spark):
-    rng = random.Random(6)
-    owners = {1: 1, 2: 2, 3: 1, 4: None}
-    files = [(f, rng.choice([1, 2, 3, 4, 9]), f"n{f}", rng.choice([None, "", "text"])) for f in range(12)]
-    batch = []
-    for r in range(900):
-        op = rng.choice(["create", "update", "update", "rename", "delete", "odd", None])
-        batch.append((r, op, rng.choice([1, 1, 2, None]), rng.choice([None, *range(25)]), rng.choice([1, 2, 3, 4, 9, None]), rng.choice(["", None, "x" * 256, f"name{r}", f"name{r}"]), rng.choice([None, "", f"c{r}", f"c{r}"])))
-    rng.shuffle(batch)
-    schema = "request long, op string, asker long, file long, project long, name string, content string"
-    made = spark.createDataFrame(batch, schema).withColumn("owner", F.lit("clash"))
-    table = spark.createDataFrame(files, "file long, project long, name string, content string")
-    outcomes = requests.judged(made, table, spark.createDataFrame(list(owners.items()), "project long, owner long")).cache()
-    want, left = by_hand(batch, files, owners)
-    assert {r.request: r.outcome for r in outcomes.collect()} == want and outcomes.count() == len(batch)
-    assert set(want.values()) == {"ok", "invalid", "unauthorized", "taken"}
-    assert sorted(tuple(r) for r in requests.applied(table, outcomes).collect()) == left
-    none = requests.judged(made.where("request < 0"), table, spark.createDataFrame([], "project long, owner long"))
+    for seed, deletions in ((6, 0), (7, 8), (8, 60)):
+        rng = random.Random(seed)
+        projects = [(p, o, f"p{p}", None) for p, o in ((1, 1), (2, 2), (3, 1), (4, None), (5, 1), (6, 2))]
+        files = [(f, rng.choice([1, 2, 3, 4, 5, 9]), f"n{f}", rng.choice([None, "", "text"])) for f in range(12)]
+        batch = []
+        for r in range(600):
+            op = rng.choice(["create", "update", "update", "rename", "delete", "odd", None, "update_project"]) if rng.randrange(1000) >= deletions else "delete_project"
+            fields = [rng.choice([1, 1, 2, None]), rng.choice([None, *range(25)]), rng.choice([1, 2, 3, 4, 5, 6, 9, None]), rng.choice(["", None, "x" * 101, "x" * 256, f"name{r}", f"name{r}"]), rng.choice([None, "", f"c{r}", f"c{r}"]), rng.choice([None, "", "d" * 501, f"d{r}"])]
+            batch.append((r, op, *fields))
+        rng.shuffle(batch)
+        schema = "request long, op string, asker long, file long, project long, name string, content string, description string"
+        made = spark.createDataFrame(batch, schema).withColumn("owner", F.lit("clash"))
+        table = spark.createDataFrame(files, "file long, project long, name string, content string")
+        owned = spark.createDataFrame(projects, "project long, owner long, name string, description string")
+        outcomes = requests.judged(made, table, owned).cache()
+        want, left, kept = by_hand(batch, files, projects)
+        assert {r.request: r.outcome for r in outcomes.collect()} == want and outcomes.count() == len(batch)
+        assert {"ok", "invalid", "unauthorized", "taken"} >= set(want.values()) >= {"ok", "invalid", "unauthorized"}
+        assert sorted(tuple(r) for r in requests.applied(table, outcomes).collect()) == left
+        assert sorted(tuple(r) for r in requests.applied_projects(owned, outcomes).collect()) == kept and (len(kept) < 6) == (deletions > 0)
+    none = requests.judged(made.where("request < 0").drop("description"), table, owned.where("project < 0"))
     assert none.count() == 0 and requests.applied(table, none).count() == len(files)
 
 
