@@ -21,7 +21,7 @@ from collections import deque
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.common import shared_dir, written
+from foliant.llm.common import fresh, shared_dir, written
 
 #: Rows in a block, and the most blocks there are.
 ROWS, MOST_BLOCKS = 500, 65_536
@@ -123,17 +123,17 @@ def affected(placed: DataFrame) -> DataFrame:
     return ends.groupBy("shard").agg(F.sum("size").alias("bytes"))
 
 
-def put(rows: DataFrame, shards: list[int], folder: str) -> None:
-    """Writes `rows`, whose shard is __shard, as the files folder/shard=K of all `shards`; other files there stay."""
+def put(rows: DataFrame, shards: list[int], folder: str, name: str = "shard") -> None:
+    """Writes `rows`, whose shard is __shard, as the files folder/shard=K, or with another name, of all `shards`; other files there stay."""
     names = [c for c in rows.columns if c != "__shard"]
-    if "shard" in [c.lower() for c in names]:  # the folder's name would hide a column of the rows
+    if name in [c.lower() for c in names]:  # the folder's name would hide a column of the rows
         for shard in shards:
-            rows.where(F.col("__shard") == shard).drop("__shard").write.mode("overwrite").parquet(f"{folder}/shard={shard}")
+            rows.where(F.col("__shard") == shard).drop("__shard").write.mode("overwrite").parquet(f"{folder}/{name}={shard}")
         return
     # what a shard had goes, even if nothing comes
     for shard in set(shards) - {r["__shard"] for r in rows.select("__shard").distinct().collect()}:
-        rows.where("false").drop("__shard").write.mode("overwrite").parquet(f"{folder}/shard={shard}")
-    rows.withColumnRenamed("__shard", "shard").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(folder)
+        rows.where("false").drop("__shard").write.mode("overwrite").parquet(f"{folder}/{name}={shard}")
+    rows.withColumnRenamed("__shard", name).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(name).parquet(folder)
 
 
 def rewrite(table: DataFrame, placed: DataFrame, folder: str) -> list[int]:
@@ -149,7 +149,10 @@ def rewrite(table: DataFrame, placed: DataFrame, folder: str) -> list[int]:
 
 
 def moved(placed: DataFrame) -> DataFrame:
-    """Rewrites affected shards in a folder of its own: doc_id, size, text_crc32, old_shard, shard and slot of all rows, for rewritten shards as their files have them."""
+    """Rewrites affected shards in a folder of its own: doc_id, size, text_crc32, old_shard, shard and slot of all rows, for rewritten shards as their files have them.
+
+    Files have all columns of the rows under their own names; what is added has names that none of these has.
+    """
     spark = placed.sparkSession
     names = ["doc_id", "size", "text_crc32", "old_shard", "shard", "slot"]
     shards = sorted(r["shard"] for r in affected(placed).select("shard").collect())
@@ -157,8 +160,9 @@ def moved(placed: DataFrame) -> DataFrame:
     if not shards:
         return stay
     folder = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
-    rows = placed.where(F.col("shard").isin(shards)).select("__row.*", "old_shard", "slot", F.col("shard").alias("__shard"))
-    put(rows, shards, folder)
-    schema = rows.drop("__shard").schema.add("shard", "integer")
+    old, slot, shard = fresh(placed.schema["__row"].dataType.names, "old_shard", "slot", "shard")
+    rows = placed.where(F.col("shard").isin(shards)).select("__row.*", F.col("old_shard").alias(old), F.col("slot").alias(slot), F.col("shard").alias("__shard"))
+    put(rows, shards, folder, shard)
+    schema = rows.drop("__shard").schema.add(shard, "integer")
     files = spark.read.schema(schema).parquet(folder)
-    return files.selectExpr("doc_id", SIZE, CHECKSUM, "old_shard", "shard", "slot").unionByName(stay)
+    return files.selectExpr("doc_id", SIZE, CHECKSUM, f"`{old}` AS old_shard", f"`{shard}` AS shard", f"`{slot}` AS slot").unionByName(stay)
