@@ -124,11 +124,11 @@ def held_out(doc_id) -> F.Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
-    """At most `most` labelled, not held out documents (text, toxic), chosen by a hash of doc_id."""
+    """At most `most` labelled, not held out documents (text, toxic), chosen by a hash of doc_id; of unlike texts with one doc_id the one with the least hash."""
     usable = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
     chosen = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     # `chosen` has at most `most` rows of two numbers
-    return docs.where("doc_id is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    return docs.where("doc_id is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("m")).select("doc_id", "m.text", "toxic")
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -330,3 +330,27 @@ def test_pipeline(spark):
             assert {r.doc_id for r in docs.collect()} == {i for i, root in expected.items() if i == root}
     assert {r.doc_id for r in docs.collect()} == {r.doc_id for r in before.collect()}
     assert docs.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 4096").count() == 0
+
+
+def test_moved_rows_with_clashing_columns(spark):
+    """Columns named like those that placement adds stay apart from them, whatever their case."""
+    docs = spark.createDataFrame([(i, "x" * (i % 40)) for i in range(300)] + [(7, None), (None, "y")], "doc_id long, text string")
+    for name in ("slot", "old_shard", "shard", "size", "text_crc32", "SHARD", "law"):
+        table = docs.withColumn(name, F.lit("clash"))
+        placed = resharding.resharded(resharding.sized(table, F.lit(0)), 4)
+        out = resharding.moved(placed)
+        assert out.columns == ["doc_id", "size", "text_crc32", "old_shard", "shard", "slot"]
+        rows = out.collect()
+        assert len(rows) == 302 and {r.old_shard for r in rows} == {0} and {r.shard for r in rows} == {0, 1, 2, 3}
+        for shard in range(4):
+            assert sorted(r.slot for r in rows if r.shard == shard) == list(range(sum(r.shard == shard for r in rows)))
+
+
+def test_sample_of_repeated_ids(spark):
+    """Which of unlike texts with one id is learned from doesn't hang on how rows are dealt."""
+    from foliant.llm import toxicity
+
+    docs = spark.createDataFrame([(i % 20, f"text {i}") for i in range(200)] + [(3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)] + [(None, 1)], "doc_id long, toxic int")
+    drawn = [sorted((r.doc_id, r.text or "", r.toxic) for r in toxicity.sample(docs.repartition(n, F.rand(n)), labels).collect()) for n in (1, 3, 7)]
+    assert drawn[0] == drawn[1] == drawn[2] and len({r[0] for r in drawn[0]}) == len(drawn[0]) > 5
