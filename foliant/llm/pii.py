@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import barrier, small, written
+from foliant.llm.common import BROADCAST_ROWS, barrier, written
 
 # The patterns. Quantifiers that can't give anything back are possessive, and where a match can only begin
 # at the start of a run (or where the last match ended) the pattern says so; both keep long texts linear. Fewer than 16
@@ -164,14 +164,22 @@ def disclosing(docs: DataFrame, support: int = SUPPORT, disclosed: float = DISCL
     around = plain.selectExpr("explode(transform(words, (w, i) -> named_struct('word', w, 'around', xxhash64(get(words, i - 1), get(words, i + 1))))) AS x").select("x.*")
     shape = "CASE " + " ".join(f"WHEN word RLIKE {quoted('^' + p + '$')} THEN '{name}'" for name, p in SHAPES.items()) + " ELSE word END"
     around = around.withColumn("term", F.expr(f"CASE WHEN word RLIKE '[0-9]' THEN {shape} ELSE word END"))
-    met = around.join(small(open_.select("term")), "term", "left_semi").groupBy("term", "around").agg(F.count("*").alias("n")).groupBy("term").agg(F.count("*").alias("varied"))
+    met = around.join(light(open_.select("term"), "term"), "term", "left_semi").groupBy("term", "around").agg(F.count("*").alias("n")).groupBy("term").agg(F.count("*").alias("varied"))
     by_kind = open_.join(met, "term").where(f"varied >= {support} AND varied >= {VARIED} * n_both").select("term")
     return written(by_kind.unionByName(by_value).distinct(), "disclosing")
 
 
+def light(table: DataFrame, column: str) -> DataFrame:
+    """Broadcasts a table whose texts in `column`, or in its arrays, come to at most 8 * BROADCAST_ROWS bytes, with 16 for each text and row."""
+    texts = F.array_join(column, "") if table.schema[column].dataType.typeName() == "array" else F.col(column)
+    many = F.size(column) if table.schema[column].dataType.typeName() == "array" else F.lit(0)
+    size = table.agg(F.sum(F.octet_length(texts) + 16 * many + 16).alias("bytes")).first()["bytes"] or 0
+    return F.broadcast(table) if size <= 8 * BROADCAST_ROWS else table
+
+
 def holding(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """From `text` and `key`: held, the disclosing terms of the text of that key, for texts that have some."""
-    rows = with_terms(docs, "key").join(small(terms), "term", "left_semi")
+    rows = with_terms(docs, "key").join(light(terms, "term"), "term", "left_semi")
     # a text has at most as many terms as words, and repeated texts have equal ones
     return written(rows.groupBy("key").agg(F.collect_set("term").alias("held")), "holding")
 
@@ -187,7 +195,7 @@ def marked(docs: DataFrame, text_col: str, keep: list[str], **limits) -> DataFra
     """A row for each of `docs`: doc, a struct of the columns `keep`, text (empty for null), and found, the spans (kind, start, end) by kind and start."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("doc"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
     held = holding(rows.select("text", "key"), disclosing(rows.select("text"), **limits))
-    rows = rows.join(small(held).withColumnRenamed("key", "at"), F.col("key") == F.col("at"), "left")
+    rows = rows.join(light(held, "held").withColumnRenamed("key", "at"), F.col("key") == F.col("at"), "left")
     found = with_spans(rows, "text", "doc", "text", "held")
     every = ", ".join(f"transform({k}, m -> named_struct('kind', '{k}', 'start', m.start, 'end', m.end))" for k in PATTERNS)
     terms = f"transform(array_sort({term_spans('text', 'held')}, (x, y) -> x.start - y.start), m -> named_struct('kind', 'term', 'start', m.start, 'end', m.end))"

@@ -367,3 +367,14 @@ def test_sql(spark, name):
     names = [c[0] for c in found.description]
     assert sorted(names) == sorted(df.columns)
     assert collections.Counter(map(tuple, df.select(names).collect())) == collections.Counter(map(tuple, found.fetchall()))
+
+
+def test_personal_data_with_nothing_broadcast(spark, docs, monkeypatch):
+    """What is too large to be broadcast, counted in bytes, is joined otherwise, with the same spans."""
+    table = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
+    wide = spark.createDataFrame([(k, ["word" * 10] * 3) for k in range(4)], "key long, held array<string>")
+    assert "hint" in pii.light(wide, "held")._jdf.logicalPlan().toString().lower()
+    one = sorted((r.doc_id, r.spans) for r in pii.report(table).collect())
+    monkeypatch.setattr(pii, "BROADCAST_ROWS", 0)
+    assert "hint" not in pii.light(wide, "held")._jdf.logicalPlan().toString().lower()
+    assert sorted((r.doc_id, r.spans) for r in pii.report(table).collect()) == one
