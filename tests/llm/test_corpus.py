@@ -237,6 +237,49 @@ def test_lines_of_the_same_words_in_other_orders(spark):
     assert lines.links(table, source).count() == 0
 
 
+def templates(rng, n):
+    """Lines of 34 equal words with one long unlike word inside; no two are similar."""
+    words = [f"{w}{'abcdefghij'[k % 10]}" for k, w in enumerate((BASE + " and later " + BASE).split()[:34])]
+    return [" ".join([*words[:17], "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 36)), *words[17:]]) for _ in range(n)]
+
+
+def named(spark, texts):
+    """What `meetings` works on if the first links tie nothing, and the lines' words."""
+    source = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    table = lines.written(lines.line_table(source), "lines")
+    words = table.select("id", "node").join(source, "id").selectExpr("node", f"array_join({lines.ALL_WORDS.replace('line', 'text')}, ' ') AS normal")
+    return table, source, lines.buckets(table).select("key", *lines.NODE, F.col("node").alias("label")), words.dropDuplicates(["node"])
+
+
+def test_lines_of_one_template(spark):
+    """A template with unlike words put in isn't paired in full, however many lines it has; lines that share what was put in still meet."""
+    rng = np.random.default_rng(8)
+    for n in (250, 1000):
+        table, source, rows, words = named(spark, templates(rng, n))
+        assert rows.groupBy("key").count().agg(F.max("count")).first()[0] > n / 2
+        assert lines.meetings(rows, words).count() <= 10 * n
+        assert lines.links(table, source).count() == 0
+    once = templates(rng, 300)
+    again = [x.replace(w, f"{w[:20]}q{w[20:]}") for x in once[:100] for w in [max(x.split(), key=len)]]
+    other = [x.replace(w, f"{w} of") for x in once[100:200] for w in [max(x.split(), key=len)]]
+    table, source, rows, words = named(spark, once + again + other)
+    sets = Sets(r.node for r in table.collect())
+    for r in lines.links(table, source).collect():
+        sets.join(r.u, r.v)
+    node = {r.id: r.node for r in table.collect()}
+    assert sum(sets.root(node[k]) == sets.root(node[300 + k]) for k in range(200)) >= 196
+    assert len({sets.root(node[k]) for k in range(300)}) == 300
+
+
+def test_lines_with_a_hub(spark):
+    """A node with very many pairs is dealt to several tasks; its links are all there."""
+    base = BASE + " " + BASE
+    pairs = spark.createDataFrame([(0, k) for k in range(1, 5001)] + [(k, 5001) for k in range(1, 3001)], "u long, v long")
+    words = spark.createDataFrame([(0, base)] + [(k, f"{base} {k % 7}") for k in range(1, 5001)] + [(5001, BASE)], "node long, normal string")
+    assert {r.node: r.parts for r in lines.dealt(pairs).collect()} == {0: 3, 5001: 2}
+    assert sorted((r.u, r.v) for r in lines.verified(pairs, words, 8).collect()) == [(0, k) for k in range(1, 5001)]
+
+
 def test_flow_moves_the_least():
     flow = resharding.min_cost_flow([10, 0, 50], [20, 20, 20], [[int(i != j) for j in range(3)] for i in range(3)])
     assert flow == [[10, 0, 0], [0, 0, 0], [10, 20, 20]]
