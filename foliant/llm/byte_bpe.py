@@ -4,7 +4,11 @@ The distinct pre-tokens of a run of documents are dealt into matrices by byte le
 row merges its leftmost pair of minimum rank; pairs are looked up in an open-addressing hash table held in two numpy
 arrays, and rows that can merge no more are compacted away. Only the pair ranks beside a merge are looked up again.
 
-Nulls in the text count as an empty text, which has no ids and decodes to no bytes. Repeated rows give repeated results,
+A pre-token beyond `LONG` bytes is a matrix of one row, in which a round takes the merges of the row's minimum rank
+together as far as they can't affect each other; cells that are gone stay until they are half of the row. So a very long
+text without blanks costs a pass for each rank that it holds, not one for each byte.
+
+Texts are taken whole, however long. Ties between pairs go to the leftmost. Nulls in the text count as an empty text, which has no ids and decodes to no bytes. Repeated rows give repeated results,
 an empty table an empty one, and columns other than the two named ones are neither read nor returned.
 """
 
@@ -26,6 +30,8 @@ from foliant.llm.common import Cache, by_slices
 NONE = np.int32(2**31 - 1)
 #: Cells of a matrix that are worked on at a time.
 CELLS = 1_000_000
+#: Bytes of a pre-token beyond which it is worked on alone.
+LONG = 4096
 #: White space that is no single space or line break. The pattern's class of white space is that of Unicode.
 WHITE = r"\x09-\x0d\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 RUNS = re.compile(f"([{WHITE}]{{2,}})")
@@ -92,6 +98,8 @@ class ByteBpe:
             whole = self.ranks.get(w)
             if whole is not None:
                 out[i] = whole.to_bytes(4, "little")
+            elif len(w) > LONG:
+                out[i] = self._merge_long(w)
             else:
                 n = len(w)  # wide rows are padded to a power of two, so that there are few buckets
                 by_width.setdefault(n if n <= 32 else 1 << (n - 1).bit_length(), []).append(i)
@@ -138,6 +146,40 @@ class ByteBpe:
             some = np.flatnonzero(at > 0)
             rank[some, at[some] - 1] = self.pairs.find(grid[some, at[some] - 1], grid[some, at[some]])
 
+    def _merge_long(self, word: bytes) -> bytes:
+        """The ids of one pre-token, a row of linked cells; the cell after the last one is padding, for both ends."""
+        ids = np.append(self.of_byte[np.frombuffer(word, np.uint8)], np.int32(-1))
+        rank = np.append(self.pairs.find(ids[:-1], ids[1:]), NONE)
+        before, after = np.arange(-1, len(word)), np.arange(1, len(word) + 2)
+        left = len(word)
+        while (best := rank.min()) != NONE:
+            at = np.flatnonzero(rank == best)
+            # of pairs that overlap, every other one from the left
+            follows = np.concatenate([[False], before[at[1:]] == at[:-1]])
+            place = np.arange(len(at))
+            at = at[(place - np.maximum.accumulate(np.where(follows, 0, place))) % 2 == 0]
+            gone, prior = after[at], before[at]
+            beyond = after[gone]
+            # the cell on the left may itself have just been merged; the one on the right has not
+            touches = np.concatenate([[False], prior[1:] == gone[:-1]])
+            merged = np.full(len(at), best, np.int32)
+            on_left = self.pairs.find(np.where(touches, best, ids[prior]), merged)
+            on_right = self.pairs.find(merged, ids[beyond])
+            # a merge that makes a pair of lesser rank is the last one of the round
+            lesser = np.flatnonzero((on_left < best) | (on_right < best))
+            n = int(lesser[0]) + 1 if len(lesser) else len(at)
+            at, gone, prior, beyond, touches = at[:n], gone[:n], prior[:n], beyond[:n], touches[:n]
+            ids[at], ids[gone], rank[gone] = best, -1, NONE
+            rank[at] = on_right[:n]
+            rank[np.where(touches, np.concatenate([[-1], at[:-1]]), prior)] = on_left[:n]
+            after[at], before[beyond] = beyond, at
+            left -= n
+            if 2 * left < len(ids) - 1:  # compaction
+                held = np.append(np.flatnonzero(ids >= 0), len(ids) - 1)
+                ids, rank = ids[held], rank[held]
+                before, after = np.arange(-1, left), np.arange(1, left + 2)
+        return ids[ids >= 0].tobytes()
+
     def decode(self, ids: np.ndarray) -> bytes:
         lengths = self.lengths[ids]
         ends = np.cumsum(lengths)

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import json
 import math
+import random
 import re
 import time
 import zlib
@@ -58,6 +59,24 @@ def test_byte_bpe(docs, rows):
     assert byte_bpe.round_trip(nothing(docs), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_very_long_words(monkeypatch):
+    """Rows on their own come to what matrices do, and a long one is no quadratic matter."""
+    bpe = byte_bpe.vocabulary(RANKS, public_tokenizers.PATTERN)[0]
+    plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.ranks, special_tokens={})
+    rng = random.Random(11)
+    kinds = ["ab", "a", "abcdefghijklmnopqrstuvwxyz", "etaoinshr", "é日本ßa語", ["the", "ing", "tion", "aa", "a", "x"]]
+    words = ["".join(rng.choices(rng.choice(kinds), k=rng.randint(9, 90))).encode() for _ in range(800)]
+    wide = bpe.encode_words(words)
+    monkeypatch.setattr(byte_bpe, "LONG", 8)
+    assert bpe.encode_words(words) == wide
+    for letters in kinds:
+        text = "".join(rng.choices(letters, k=150_000))
+        began = time.monotonic()
+        ids = np.frombuffer(byte_bpe.encode_texts([text], RANKS, public_tokenizers.PATTERN)[0][0], np.int32)
+        assert time.monotonic() - began < 20
+        assert ids.tolist() == plain.encode_ordinary(text)
+
+
 def test_unigram(docs, rows):
     pieces, cut, _, _ = unigram.model(RANKS, public_tokenizers.PATTERN)
     words = sorted({w.encode() for _, t in rows for w in cut.findall(t) if len(w.encode()) <= 11})[:300]
