@@ -10,8 +10,8 @@ are candidates with their neighbours. Candidates form groups, and a group's answ
 held as its difference from what most of the group has, and overlaps with all sets not yet reached follow from the
 overlaps of the differences. No pair is emitted that isn't a step of the search, so a group of thousands costs a forest.
 Large groups are split into blocks that share some members; after that only sets outside a group's main component meet
-the other blocks, and of these only such as have enough of their indexed tokens. They meet a block in parts, so that no
-task holds more than about two blocks at once, however large a group is.
+the other blocks, and of these only such as have enough of their indexed tokens, early enough for a link. They meet a
+block in parts, so that no task holds more than about two blocks at once, however large a group is.
 
 Two classes that share a 64-bit digest of their sets would be taken for one. Nulls: a null or blank text has no set and
 links with nothing; a null doc_id is carried along and never names a component, unless all of its members have none.
@@ -325,14 +325,29 @@ def searched(rows: DataFrame, percent: int, labelled: bool, batches: int) -> Dat
 
 
 def visits(label: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(group, block, k) for each guest and each block that has as many of its indexed tokens as a link would share.
+    """(group, block, k), written, for each guest and each block that has as many of its indexed tokens as a link would share.
+
+    Of the tokens that two sets that link have in common, the first ones come early in both: what follows them has to
+    make up the overlap that the two sizes ask for. So a token counts for a guest and a block only if it is early enough
+    in the guest for the smallest set of the block that has it, and early enough in one of these for the guest. What is
+    too late even for the smallest set of the group that has the token isn't joined at all. A guest's own block has been
+    searched.
 
     `label` has group, block, k and guest; `classes` has k, n and the indexed `tokens`.
     """
-    entries = classes.join(small(label, 4), "k").select("group", "block", "k", "guest", "n", F.explode("tokens").alias("token"))
-    held = entries.select("group", "token", "block").distinct()
-    met = entries.where("guest").select("group", "token", "k", "n").join(held, ["group", "token"])
-    return met.groupBy("group", "block", "k", "n").agg(F.count("*").alias("met")).where(f"met >= {least_shared(percent)}").select("group", "block", "k")
+    # a token at pos counts beside a set of m tokens if (100 + percent) * (n - pos + need - 1) >= percent * (n + m)
+    need = f"least({MEET} + n div 100, ceil({percent} * n / 100))"
+    room = f"floor(((100 + {percent}) * (n - pos + {need} - 1) - {percent} * n) / {percent})"
+    entries = classes.join(small(label, 4), "k").select("group", "block", "k", "guest", "n", F.posexplode("tokens").alias("pos", "token"))
+    entries = entries.withColumn("room", F.expr(f"cast({room} AS bigint)")).drop("pos").where(f"100 * room >= {percent} * n")
+    least = entries.groupBy("group", "token").agg(F.min("n").alias("least"), F.max("guest").alias("wanted")).where("wanted").drop("wanted")
+    early = written(entries.join(least, ["group", "token"]).where("room >= least").drop("least"), "early")
+    held = early.groupBy("group", "token", "block").agg(F.min("n").alias("least"), F.max("room").alias("most"))
+    guests = early.where("guest").select("group", "token", "k", "n", "room", F.col("block").alias("own"))
+    met = guests.join(held, ["group", "token"]).where("block <> own AND room >= least AND most >= n")
+    found = written(met.groupBy("group", "block", "k", "n").agg(F.count("*").alias("met")).where(f"met >= {least_shared(percent)}").select("group", "block", "k"), "visits")
+    discard(early)
+    return found
 
 
 def group_links(candidates: DataFrame, bodies: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -358,7 +373,7 @@ def group_links(candidates: DataFrame, bodies: DataFrame, classes: DataFrame, pe
     count = label.groupBy("group", "label").agg(F.count("*").alias("n"))
     main = count.groupBy("group").agg(F.max_by("label", "n").alias("main"), F.count("*").alias("labels")).where("labels > 1")
     open_ = label.join(main, "group").withColumn("guest", F.col("label") != F.col("main"))
-    calls = written(visits(open_.select("group", "block", "k", "guest").distinct(), classes, percent), "visits")
+    calls = visits(open_.select("group", "block", "k", "guest").distinct(), classes, percent)
     # a block's guests come in parts of about BLOCK, and its own sets are there in each of these
     parts = calls.groupBy("group", "block").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
     guests = calls.join(parts, ["group", "block"]).withColumn("part", F.pmod(F.xxhash64(F.col("k") + 2), F.col("parts")).cast("int"))

@@ -101,6 +101,29 @@ def test_jaccard_tasks_are_bounded_in_a_group_of_near_misses(spark, monkeypatch)
     assert len(held) == 2 and max(held) <= 2.8 * jaccard.BLOCK, held
 
 
+def test_jaccard_near_misses_with_texts_of_their_own(spark, monkeypatch):
+    """Pages of one template with something of their own meet nothing a second time, but for the few that may link, however many pages there are."""
+    monkeypatch.setattr(jaccard, "BLOCK", 60)
+    monkeypatch.setattr(jaccard, "SHARED", 3)
+    template, sent = [f"w{i}" for i in range(200)], []
+    plain = jaccard.searched
+
+    def counted(df, percent, labelled, batches):
+        if labelled:
+            sent.append(df.count())
+        return plain(df, percent, labelled, batches)
+
+    monkeypatch.setattr(jaccard, "searched", counted)
+    for n in (240, 480):
+        rows = [(k, " ".join([*template[k % 7 :], *[f"own{k}x{i}" for i in range(18)]])) for k in range(n)]
+        # some links across blocks: texts that lack a few of another one's words
+        rows += [(10_000 + k, " ".join(rows[k][1].split(" ")[: -1 - k % 3])) for k in range(0, n, 40)]
+        got = {r.doc_id: r.component_id for r in jaccard.joined(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == groups(shingle_sets(rows, 3), 90)
+    # in full it would be every page times every block
+    assert sent[1] <= 2.5 * sent[0] + 50 and sent[1] <= 4 * 480, sent
+
+
 def test_jaccard_edges(spark, docs):
     assert jaccard.joined(docs.where("doc_id = 99999999")).count() == 0
     rows = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (None, "q r s t u v"), (2, "x y z x y z"), (3, None), (4, None), (4, "k l m n o p")], "doc_id long, text string").withColumn("rep", F.lit("c"))
