@@ -296,6 +296,27 @@ def test_lines_of_one_template(spark):
     assert len({sets.root(node[k]) for k in range(300)}) == 300
 
 
+def test_no_link_of_a_large_bucket_is_left_out(spark):
+    """Lines of one template, and copies whose put in word begins and ends otherwise, so that no word and no end of one is theirs alone: all pairs that share a key, by SQL."""
+    rng = np.random.default_rng(9)
+    once = templates(rng, 150)
+    again = [x.replace(w, f"qq{w[2:17]}xx{w[19:-2]}zz") for x in once for w in [max(x.split(), key=len)]]
+    table, source, rows, words = named(spark, once + again)
+    held, text = rows.toPandas(), words.toPandas()  # noqa: F841
+    assert held.groupby("key").size().max() > 200
+    bits = " + ".join(f"bit_count(xor(a.p{s}, b.p{s}))" for s in range(lines.PAIRS))
+    pairs = f"SELECT DISTINCT a.node AS u, b.node AS v FROM held a JOIN held b ON a.key = b.key AND a.node < b.node WHERE {bits} <= {lines.DIFFER}"
+    close = f"levenshtein(x.normal, y.normal) <= floor({1 - lines.SIMILAR:.6f} * greatest(length(x.normal), length(y.normal)))"
+    true = set(duckdb.connect().execute(f"SELECT u, v FROM ({pairs}) JOIN text x ON x.node = u JOIN text y ON y.node = v WHERE {close}").fetchall())
+    assert len(true) >= 140
+    sets = Sets(r.node for r in table.collect())
+    for r in lines.links(table, source).collect():
+        sets.join(r.u, r.v)
+    assert all(sets.root(u) == sets.root(v) for u, v in true)
+    found = [(r.u, r.v) for r in lines.meetings(rows, words).collect()]
+    assert len(found) == len(set(found)) and set(found) == true
+
+
 def test_lines_with_a_hub(spark):
     """A node with very many pairs is dealt to several tasks; its links are all there."""
     base = BASE + " " + BASE
