@@ -20,12 +20,17 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.llm.common import Cache, by_slices, written
 
 END = (1).to_bytes(4, "little")
+#: Stands between words that are encoded together, a token of one id.
+APART = "|"
+#: Rows and characters tokenized at a time; distinct words are looked up once in each such slice.
+AT_ONCE = (2_000, 4_000_000)
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Pieces in a block, islands that evolve it, and how many blocks meet in a wider one.
 BLOCK, ISLANDS, WIDER = 4_000, 3, 24
@@ -57,23 +62,42 @@ def token_ids(texts: list[str], path: str) -> list[bytes]:
     """Each text's ids as bytes of little-endian 32-bit integers.
 
     The tokenizer drops white space and neither its normaliser nor its pattern reaches across it, so that the ids of a
-    text are those of its stretches between blanks and line breaks; each distinct stretch is encoded once. A full stop
-    or comma after a letter or digit is a match of its own.
+    text are those of its stretches between blanks and line breaks; each distinct stretch is looked up once and encoded
+    once. A full stop or comma after a letter or digit is a match of its own.
     """
     tok, cache, cores = tokenizer(path)
+    apart, *stops = (tok.encode(x, add_special_tokens=False).ids for x in (APART, "", ".", ","))
+    stops = {x: np.array(ids, "<u4").tobytes() for x, ids in zip(("", ".", ","), stops, strict=True)}
+
+    def encoded(texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def whole(words: list[str]) -> list[bytes]:
+        """Runs of words go in as one text; where a word has the id that keeps them apart itself, each by itself."""
         out: list[bytes] = []
         for at in range(0, len(words), 20_000):
-            out += [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(words[at : at + 20_000], add_special_tokens=False)]
+            runs = [words[k : k + 200] for k in range(at, min(at + 20_000, len(words)), 200)]
+            for run, ids in zip(runs, encoded([f" {APART} ".join(r) for r in runs]), strict=True):
+                cut = (4 * np.flatnonzero(ids == apart[0])).tolist()
+                if len(cut) == len(run) - 1:
+                    raw = ids.tobytes()
+                    out += [raw[a:b] for a, b in zip([0, *(c + 4 for c in cut)], [*cut, len(raw)], strict=True)]
+                else:
+                    out += [i.tobytes() for i in encoded(run)]
         return out
 
     def by_core(words: list[str]) -> list[bytes]:
-        cut = [(w[:-1], w[-1:]) if w[-1:] in (".", ",") and w[-2:-1].isalnum() and w[-2] <= "ÿ" else (w, "") for w in words]
-        first, last = cores.resolve([[a for a, _ in cut], [b for _, b in cut]], whole)
-        return [a + b for a, b in zip(first, last, strict=True)]
+        last = [w[-1] if w.endswith((".", ",")) and w[-2:-1].isalnum() and w[-2] <= "ÿ" else "" for w in words]
+        (first,) = cores.resolve([[w[:-1] if x else w for w, x in zip(words, last, strict=True)]], whole)
+        return [a + stops[x] for a, x in zip(first, last, strict=True)]
 
-    return [b"".join(x) for x in cache.resolve([lowered(t).replace("\n", " ").split(" ") for t in texts], by_core)]
+    split = pc.split_pattern(pa.array([lowered(t).replace("\n", " ") for t in texts], pa.large_string()), " ")
+    words = split.flatten().dictionary_encode()
+    (ids,) = cache.resolve([words.dictionary.to_pylist()], by_core)
+    all_ids = pa.array(ids, pa.large_binary()).take(words.indices)
+    ends = np.frombuffer(all_ids.buffers()[1], "<i8", len(all_ids) + 1, 8 * all_ids.offset)[np.asarray(split.offsets)].tolist()
+    raw = memoryview(all_ids.buffers()[2] or b"")
+    return [raw[a:b].tobytes() for a, b in zip(ends, ends[1:])]
 
 
 def pieces(docs: DataFrame, path: str, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -90,7 +114,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, id_col: str = "doc_id", te
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(id_col, text_col).mapInArrow(by_slices(work), PIECES)
+    return docs.select(id_col, text_col).mapInArrow(by_slices(work, *AT_ONCE), PIECES)
 
 
 class Fit:

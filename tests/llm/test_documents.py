@@ -117,6 +117,24 @@ def test_packing(docs, rows):
     assert packing.pack(packing.pieces(nothing(docs), WORDS, capacity), capacity).count() == 0
 
 
+def test_words_are_looked_up_once(monkeypatch):
+    """A slice's distinct words go to the cache, not all of its words; words with the separator of words in them come out as alone."""
+    texts = ["", " ", "|", "a | b|c || |", "Ünïcode, naïve. x. y, 1.5, (z). e\u0301. \u0301a <|endoftext|>|", "the | the\nthe. the, " * 50, "\u03a3\u03c2. \u0130 \u4e2d\u6587,"]
+    tok, cache, cores = packing.tokenizer(WORDS)
+    asked = []
+
+    class Spy:
+        def resolve(self, lists, make):
+            asked.extend(w for x in lists for w in x)
+            return cache.resolve(lists, make)
+
+    monkeypatch.setattr(packing, "tokenizer", lambda path: (tok, Spy(), cores))
+    got = packing.token_ids(texts, WORDS)
+    assert got == [np.array(tok.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    assert len(asked) == len(set(asked))
+    assert packing.token_ids([""], WORDS) == [b""] and packing.token_ids([], WORDS) == []
+
+
 def test_crossover_keeps_every_piece():
     rng = np.random.default_rng(1)
     size = rng.integers(1, 100, 200).tolist()
