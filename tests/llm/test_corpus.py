@@ -317,6 +317,16 @@ def test_no_link_of_a_large_bucket_is_left_out(spark):
     assert len(found) == len(set(found)) and set(found) == true
 
 
+def test_pipeline_drops_lines_of_a_large_bucket(spark):
+    """The pipeline's line stage drops the later of two lines that only their edit distance ties, among 300 of one template."""
+    rng = np.random.default_rng(9)
+    once = templates(rng, 150)
+    again = [x.replace(w, f"qq{w[2:17]}xx{w[19:-2]}zz") for x in once for w in [max(x.split(), key=len)]]
+    docs = spark.createDataFrame(list(enumerate(once + again)), "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.drop_repeated_lines(spark, docs, "").collect()}
+    assert len(kept) >= 100 and sum(k >= 150 for k in kept) <= 10
+
+
 def test_lines_with_a_hub(spark):
     """A node with very many pairs is dealt to several tasks; its links are all there."""
     base = BASE + " " + BASE
