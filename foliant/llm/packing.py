@@ -15,6 +15,7 @@ are packed each by itself; ties between bins or pieces go by the order of rows.
 from __future__ import annotations
 
 import functools
+import re
 import zlib
 
 import numpy as np
@@ -24,13 +25,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.common import Cache, by_slices, written
+from foliant.llm.common import Cache, batches_of, by_slices, written
 
 END = (1).to_bytes(4, "little")
 #: Stands between words that are encoded together, a token of one id.
 APART = "|"
-#: Rows and characters tokenized at a time; distinct words are looked up once in each such slice.
+#: Rows and characters tokenized at a time; distinct words are looked up once in each such slice. As many rows go to Python at a time.
 AT_ONCE = (2_000, 4_000_000)
+#: Words that neither normaliser nor pattern changes or splits, and characters after which a full stop or comma is a match of its own.
+PLAIN = re.compile("[a-zß-öø-ÿ]+").fullmatch
+BEFORE_STOP = [chr(c) for c in range(256) if chr(c).isalnum()]
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Pieces in a block, islands that evolve it, and how many blocks meet in a wider one.
 BLOCK, ISLANDS, WIDER = 4_000, 3, 24
@@ -40,13 +44,16 @@ SETTLED_FREE = 4
 
 @functools.lru_cache(maxsize=2)
 def tokenizer(path: str):
-    """Once in each Python worker: the tokenizer, and caches of the ids of stretches between blanks and of what remains of them without a stop."""
+    """Once in each Python worker: the tokenizer, a cache of the ids of stretches between blanks without a stop, and the same tokenizer for PLAIN words, which only splits at blanks."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-    return Tokenizer.from_file(path), Cache(400_000), Cache(500_000)
+    plain = Tokenizer.from_file(path)
+    plain.normalizer = normalizers.Sequence([])
+    plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    return Tokenizer.from_file(path), Cache(500_000), plain
 
 
 def lowered(text: str) -> str:
@@ -63,38 +70,43 @@ def token_ids(texts: list[str], path: str) -> list[bytes]:
 
     The tokenizer drops white space and neither its normaliser nor its pattern reaches across it, so that the ids of a
     text are those of its stretches between blanks and line breaks; each distinct stretch is looked up once and encoded
-    once. A full stop or comma after a letter or digit is a match of its own.
+    once. A full stop or comma after a letter or digit is a match of its own, so that words are looked up without it.
     """
-    tok, cache, cores = tokenizer(path)
+    tok, cache, plain = tokenizer(path)
     apart, *stops = (tok.encode(x, add_special_tokens=False).ids for x in (APART, "", ".", ","))
-    stops = {x: np.array(ids, "<u4").tobytes() for x, ids in zip(("", ".", ","), stops, strict=True)}
+    stops = pa.array([np.array(ids, "<u4").tobytes() for ids in stops], pa.large_binary())
 
-    def encoded(texts: list[str]) -> list[np.ndarray]:
+    def encoded(tok, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def whole(words: list[str]) -> list[bytes]:
+    def in_runs(tok, words: list[str]) -> list[bytes]:
         """Runs of words go in as one text; where a word has the id that keeps them apart itself, each by itself."""
         out: list[bytes] = []
         for at in range(0, len(words), 20_000):
             runs = [words[k : k + 200] for k in range(at, min(at + 20_000, len(words)), 200)]
-            for run, ids in zip(runs, encoded([f" {APART} ".join(r) for r in runs]), strict=True):
+            for run, ids in zip(runs, encoded(tok, [f" {APART} ".join(r) for r in runs]), strict=True):
                 cut = (4 * np.flatnonzero(ids == apart[0])).tolist()
                 if len(cut) == len(run) - 1:
                     raw = ids.tobytes()
                     out += [raw[a:b] for a, b in zip([0, *(c + 4 for c in cut)], [*cut, len(raw)], strict=True)]
                 else:
-                    out += [i.tobytes() for i in encoded(run)]
+                    out += [i.tobytes() for i in encoded(tok, run)]
         return out
 
-    def by_core(words: list[str]) -> list[bytes]:
-        last = [w[-1] if w.endswith((".", ",")) and w[-2:-1].isalnum() and w[-2] <= "ÿ" else "" for w in words]
-        (first,) = cores.resolve([[w[:-1] if x else w for w, x in zip(words, last, strict=True)]], whole)
-        return [a + stops[x] for a, x in zip(first, last, strict=True)]
+    def whole(words: list[str]) -> list[bytes]:
+        is_plain = [PLAIN(w) is not None for w in words]
+        kinds = {x: iter(in_runs(t, [w for w, p in zip(words, is_plain, strict=True) if p == x])) for x, t in ((True, plain), (False, tok))}
+        return [next(kinds[p]) for p in is_plain]
 
     split = pc.split_pattern(pa.array([lowered(t).replace("\n", " ") for t in texts], pa.large_string()), " ")
     words = split.flatten().dictionary_encode()
-    (ids,) = cache.resolve([words.dictionary.to_pylist()], by_core)
-    all_ids = pa.array(ids, pa.large_binary()).take(words.indices)
+    held = words.dictionary
+    after = pc.is_in(pc.utf8_slice_codeunits(held, -2, -1), pa.array(BEFORE_STOP, pa.large_string()))
+    stop = pc.case_when(pc.make_struct(pc.and_(after, pc.ends_with(held, ".")), pc.and_(after, pc.ends_with(held, ","))), pa.scalar(1), pa.scalar(2), pa.scalar(0))
+    cores = pc.if_else(pc.equal(stop, 0), held, pc.utf8_slice_codeunits(held, 0, -1)).dictionary_encode()
+    (ids,) = cache.resolve([cores.dictionary.to_pylist()], whole)
+    ids = pc.binary_join_element_wise(pa.array(ids, pa.large_binary()).take(cores.indices), stops.take(stop), pa.scalar(b"", pa.large_binary()))
+    all_ids = ids.take(words.indices)
     ends = np.frombuffer(all_ids.buffers()[1], "<i8", len(all_ids) + 1, 8 * all_ids.offset)[np.asarray(split.offsets)].tolist()
     raw = memoryview(all_ids.buffers()[2] or b"")
     return [raw[a:b].tobytes() for a, b in zip(ends, ends[1:])]
@@ -188,7 +200,8 @@ def evolve(size: list[int], capacity: int, seed: int, migrants: list[list[list[i
     rest = [i for i, n in enumerate(size) if n < capacity]
     least = -(-sum([size[i] for i in rest]) // capacity)
     scored = [(fitness(m, size, capacity), m) for m in ([b for b in g if size[b[0]] < capacity] for g in migrants)]
-    while len(scored) < 3:
+    # a grouping with as few bins as there can be needs no others beside it
+    while len(scored) < 3 and not any(len(g) <= least for _, g in scored):
         # after the first grouping, by size, come ones in which a random tenth is placed last
         late = {i for i in rest if rng.random() < 0.1} if scored else set()
         first = refit([], [i for i in rest if i not in late], size, capacity)
@@ -258,7 +271,8 @@ def evolved(df: DataFrame, level: int, capacity: int, generations: int) -> DataF
 
 def pack(items: DataFrame, capacity: int, block: int = BLOCK, generations: int = 6) -> DataFrame:
     """Adds `sequence_id` and `offset` to a table of PIECES none of which is longer than `capacity`."""
-    items = written(items, "pieces")
+    with batches_of(items.sparkSession, AT_ONCE[0]):
+        items = written(items, "pieces")
     blocks = max(1, -(-items.count() // block))
     dealt = items.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(blocks)))
     first = written(evolved(dealt, 1, capacity, generations), "packed")

@@ -12,12 +12,13 @@ import zlib
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from foliant.llm import byte_bpe, packing, pii, quality, toxicity, transport, unigram
+from foliant.llm import byte_bpe, common, packing, pii, quality, toxicity, transport, unigram
 
 RANKS, WORDS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.path("word_bpe_49k.json")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -135,6 +136,50 @@ def test_words_are_looked_up_once(monkeypatch):
     assert packing.token_ids([""], WORDS) == [b""] and packing.token_ids([], WORDS) == []
 
 
+def test_words_are_looked_up_without_their_stops(monkeypatch):
+    """One look-up for a word with and without a full stop or comma behind it, where that is a match of its own."""
+    tok, cache, plain = packing.tokenizer(WORDS)
+    asked = []
+
+    class Spy:
+        def resolve(self, lists, make):
+            asked.extend(w for x in lists for w in x)
+            return cache.resolve(lists, make)
+
+    monkeypatch.setattr(packing, "tokenizer", lambda path: (tok, Spy(), plain))
+    text = "the. the, the naïve. naïve 1.5. 1.5 é, \u0301. . ,, ß\n\u4e2d. ÷ x÷y ﬁn"
+    assert packing.token_ids([text], WORDS) == [np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
+    assert sorted(asked) == sorted(["the", "naïve", "1.5", "é", "\u0301.", ".", ",,", "ß", "\u4e2d.", "÷", "x÷y", "ﬁn"])
+
+
+def test_plain_words_by_the_plain_tokenizer():
+    """Words of Latin-1 letters come out of the tokenizer without normaliser and pattern as out of the whole one."""
+    tok, _, plain = packing.tokenizer(WORDS)
+    rng = np.random.default_rng(3)
+    letters = [c for c in map(chr, range(256)) if packing.PLAIN(c)]
+    for word in [*letters, *("".join(rng.choice(letters, n)) for n in rng.integers(2, 30, 500))]:
+        assert plain.encode(word, add_special_tokens=False).ids == tok.encode(word, add_special_tokens=False).ids, word
+
+
+def test_evolution_ends_with_a_grouping_at_the_bound(monkeypatch):
+    """Where best fit has as few bins as there can be, no other groupings are made; where it hasn't, they still are."""
+    calls, plain = [], packing.refit
+    monkeypatch.setattr(packing, "refit", lambda *x: calls.append(1) or plain(*x))
+    assert len(packing.evolve([50, 50, 30, 70, 100, 20], 100, 1, [], 5)) == 4 and len(calls) == 2
+    calls.clear()
+    packing.evolve([51] * 6, 100, 1, [], 5)
+    assert len(calls) > 6
+
+
+def test_batches_for_python_are_bounded(spark):
+    """Pieces are tokenized from batches of a few rows, and the session's setting comes back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    with common.batches_of(spark, 7):
+        found = spark.range(0, 40, 1, 2).mapInArrow(lambda x: (pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"]) for b in x), "n long").collect()
+    assert max(r.n for r in found) == 7 and sum(r.n for r in found) == 40 and spark.conf.get(name) == before
+
+
 def test_crossover_keeps_every_piece():
     rng = np.random.default_rng(1)
     size = rng.integers(1, 100, 200).tolist()
