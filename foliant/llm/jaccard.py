@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.common import by_slices, discard, fresh, slices, small, written
+from foliant.llm.common import batches_of, by_slices, discard, fresh, slices, small, written
 from foliant.llm.components import components
 
 #: Counting buckets, 2 to this power, and the parts that a task's counts are sent in.
@@ -38,6 +38,8 @@ BUCKETS, PARTS = 20, 16
 SHORT, BLOCK, SHARED = 8, 800, 100
 #: Sets that link share so many of their indexed tokens, and one more for each hundred tokens that they have.
 MEET = 3
+#: Rows and characters hashed at a time; letters take some ten times their size meanwhile. As many rows go to Python at a time.
+AT_ONCE = (1_000, 500_000)
 #: Sets that a task searches, and as many doc_ids are broadcast at most, a long each.
 BATCH = 500
 
@@ -108,7 +110,7 @@ def levels(docs: DataFrame, words: int) -> np.ndarray:
             for h in shingles(texts, words):
                 np.add.at(total, bucket(distinct(h)), 1)
 
-        for _ in by_slices(add)(batches):
+        for _ in by_slices(add, *AT_ONCE)(batches):
             pass
         parts = [p.tobytes() for p in np.split(total, PARTS)]
         yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array(parts, pa.binary())], names=["part", "counts"])
@@ -165,7 +167,7 @@ def sets(docs: DataFrame, steps, words: int, percent: int, whole: bool) -> DataF
             tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*parts, np.zeros(0, np.uint64)]).view(np.int64)))
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([len(t) for t in found], pa.int64()), pa.array([key_of(t) for t in found], pa.int64()), tokens], names=["doc_id", "n", "k", "tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(by_slices(work), f"doc_id long, n long, k long, tokens {'binary' if whole else 'array<long>'}")
+    return docs.select("doc_id", "text").mapInArrow(by_slices(work, *AT_ONCE), f"doc_id long, n long, k long, tokens {'binary' if whole else 'array<long>'}")
 
 
 def linked(overlap: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
@@ -357,7 +359,8 @@ def group_links(candidates: DataFrame, bodies: DataFrame, classes: DataFrame, pe
     sizes = groups.groupBy("group").agg(F.count("*").alias("members"))
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     members = groups.join(sizes, "group").withColumn("blocks", blocks)
-    held = written(bodies.join(small(members, 4), "k").withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")), "members")
+    with batches_of(bodies.sparkSession, AT_ONCE[0]):
+        held = written(bodies.join(small(members, 4), "k").withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")), "members")
     # the same members go to all blocks of a group, so that the blocks' components meet in them
     share = F.pmod(F.xxhash64(F.col("k") + 1), F.col("members")) < SHARED
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -386,8 +389,9 @@ def group_links(candidates: DataFrame, bodies: DataFrame, classes: DataFrame, pe
 def classified(docs: DataFrame, percent: int, words: int) -> tuple[DataFrame, DataFrame, object]:
     """Each document's (doc_id, n, k), each class's (k, rep, root, component_id), and the token order."""
     docs = docs.select("doc_id", "text")
-    steps = docs.sparkSession.sparkContext.broadcast(levels(docs, words))
-    indexed = written(sets(docs, steps, words, percent, False), "sets")
+    with batches_of(docs.sparkSession, AT_ONCE[0]):
+        steps = docs.sparkSession.sparkContext.broadcast(levels(docs, words))
+        indexed = written(sets(docs, steps, words, percent, False), "sets")
     classes = written(indexed.where("k >= 0").groupBy("k").agg(F.min("n").alias("n"), F.first("tokens").alias("tokens")), "classes")
     entries = classes.select("k", "n", F.posexplode("tokens").alias("pos", "token"))
     entries = entries.select("token", "n", "k", F.col("pos").cast("long").alias("pos"))

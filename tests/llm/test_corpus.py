@@ -327,6 +327,70 @@ def test_pipeline_drops_lines_of_a_large_bucket(spark):
     assert len(kept) >= 100 and sum(k >= 150 for k in kept) <= 10
 
 
+def far_apart(rng, n):
+    """Pairs of lines of 64 words of 11 letters; the second one has another letter in each of them."""
+    out = []
+    for _ in range(n):
+        words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 11)) for _ in range(64)]
+        out.append((words, [f"{w[:5]}{'q' if w[5] != 'q' else 'z'}{w[6:]}" for w in words]))
+    return out
+
+
+def test_links_of_far_simhashes(spark):
+    """Lines that share a key and are similar are linked however many bits their SimHashes differ in, in small buckets, in a large one and in the pipeline."""
+    rng = np.random.default_rng(12)
+    made = far_apart(rng, 12)
+    hashes = spark.createDataFrame([(w, k) for x, _ in made for k, w in enumerate(x)], "w string, k int").selectExpr("w", "shiftrightunsigned(xxhash64(w, 2 * k div 64), 61) AS block").collect()
+    block = {r.w: r.block for r in hashes}
+    texts = []
+    for x, y in made:
+        held = collections.Counter(block[w] for w in x).most_common(1)[0][0]
+        # the block of most words stays as it is: none of its words goes, and none comes
+        new = spark.createDataFrame([(w, k) for k, w in enumerate(y)], "w string, k int").selectExpr("w", "shiftrightunsigned(xxhash64(w, 2 * k div 64), 61) AS block").collect()
+        block |= {r.w: r.block for r in new}
+        z = [a if block[a] == held or block[b] == held else b for a, b in zip(x, y, strict=True)]
+        texts += [" ".join(x), " ".join(z)]
+    source = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    table = lines.written(lines.line_table(source), "lines")
+    at = {r.id: r for r in table.collect()}
+    held = collections.defaultdict(set)
+    for r in lines.buckets(table).select("key", "node").collect():
+        held[r.key].add(r.node)
+    far = [k for k in range(0, len(texts), 2) if any({at[k].node, at[k + 1].node} <= x for x in held.values()) and sum(bin((at[k][f"p{s}"] ^ at[k + 1][f"p{s}"]) & (2**64 - 1)).count("1") for s in range(lines.PAIRS)) > lines.DIFFER]
+    assert len(far) >= 8 and all(similar(texts[k], texts[k + 1]) for k in far)
+    found = {(r.u, r.v) for r in lines.links(table, source).collect()}
+    assert all(tuple(sorted((at[k].node, at[k + 1].node))) in found for k in far)
+    # the same in one large bucket
+    rows = table.selectExpr("7L AS key", *lines.NODE, "node AS label")
+    words = table.select("id", "node").join(source, "id").selectExpr("node", "text AS normal")
+    got = {(r.u, r.v) for r in lines.meetings(rows, words).collect()}
+    assert got == {tuple(sorted((at[k].node, at[k + 1].node))) for k in range(0, len(texts), 2) if similar(texts[k], texts[k + 1])}
+    kept = {r.doc_id for r in corpus_pipeline.drop_repeated_lines(spark, source.withColumnRenamed("id", "doc_id"), "").collect()}
+    assert kept.isdisjoint(k + 1 for k in far) and kept.issuperset(range(0, len(texts), 2))
+
+
+def test_bounds_of_the_edit_distance_lose_nothing(spark):
+    """Pairs about as far apart as links may be, with differences in one place or spread, against a plain distance."""
+    rng = np.random.default_rng(5)
+    letters, pairs = list("abcde fghi é"), []
+    for k in range(300):
+        a = " ".join("".join(rng.choice(letters, rng.integers(20, 120))).split())
+        b = list(a)
+        for _ in range(rng.integers(0, max(2, len(a) // 3))):
+            at = int(rng.integers(0, len(b)) if k % 2 else min(len(b) - 1, len(a) // 3))
+            b[at : at + int(rng.integers(0, 2))] = rng.choice(letters, rng.integers(0, 2)).tolist()
+        pairs.append((k, -k - 1, a, " ".join("".join(b).split())))
+    both = spark.createDataFrame(pairs, "u long, v long, x string, y string")
+    expected = {(u, v) for u, v, x, y in pairs if similar(x, y)}
+    assert 50 < len(expected) < 260
+    assert {(r.u, r.v) for r in lines.alike(both).collect()} == expected
+    nodes = [(i, t, [1]) for u, v, x, y in pairs for i, t in ((u, x), (v, y))]
+    rows = spark.createDataFrame([(1, i, len(t), 0, 0, 0, 0, i) for i, t, _ in nodes], f"key long, {', '.join(f'{c} long' for c in lines.NODE)}, label long")
+    words = spark.createDataFrame([(i, t) for i, t, _ in nodes], "node long, normal string")
+    got = {(r.u, r.v) for r in lines.meetings(rows, words).collect()}
+    assert {(min(p), max(p)) for p in expected} <= got
+
+
 def test_lines_with_a_hub(spark):
     """A node with very many pairs is dealt to several tasks; its links are all there."""
     base = BASE + " " + BASE
