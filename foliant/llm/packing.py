@@ -15,8 +15,10 @@ are packed each by itself; ties between bins or pieces go by the order of rows.
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -25,13 +27,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.common import Cache, batches_of, by_slices, written
+from foliant.llm.common import batches_of, by_slices, written
 
 END = (1).to_bytes(4, "little")
 #: Stands between words that are encoded together, a token of one id.
 APART = "|"
 #: Rows and characters tokenized at a time; distinct words are looked up once in each such slice. As many rows go to Python at a time.
-AT_ONCE = (2_000, 4_000_000)
+AT_ONCE = (1_000, 2_000_000)
+#: Words that a worker holds at most, with 32 characters for each.
+CACHED = 500_000
 #: Words that neither normaliser nor pattern changes or splits, and characters after which a full stop or comma is a match of its own.
 PLAIN = re.compile("[a-zß-öø-ÿ]+").fullmatch
 BEFORE_STOP = [chr(c) for c in range(256) if chr(c).isalnum()]
@@ -42,18 +46,63 @@ BLOCK, ISLANDS, WIDER = 4_000, 3, 24
 SETTLED_FREE = 4
 
 
+class Held:
+    """The ids of distinct words in Arrow buffers, found by the words' hashes and compared as words, which takes a fraction of a dict's memory. It is emptied when it would hold more than `most` words or 32 characters for each."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.clear()
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    def clear(self) -> None:
+        self.hashes, self.at, self.chars = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+        self.words, self.ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
+
+    def resolve(self, lists: list[list[str]], make: Callable[[list[str]], list[bytes]]) -> list[list[bytes]]:
+        """The ids of all words of `lists`; `make` gives those of the distinct words not held yet."""
+        words = list(dict.fromkeys(itertools.chain(*lists)))
+        keys = np.fromiter(map(hash, words), np.int64, len(words))
+        known = np.zeros(len(words), np.bool_)
+        found: dict[str, bytes] = {}
+        if len(self):
+            near = np.minimum(np.searchsorted(self.hashes, keys), len(self) - 1)
+            at = pa.array(self.at[near])
+            known = (self.hashes[near] == keys) & pc.equal(self.words.take(at), pa.array(words, pa.large_string())).to_numpy(zero_copy_only=False)
+            found = dict(zip(itertools.compress(words, known.tolist()), self.ids.take(at.filter(pa.array(known))).to_pylist(), strict=True))
+        new = list(itertools.compress(words, (~known).tolist()))
+        made = make(new)
+        found.update(zip(new, made, strict=True))
+        self.hold(new, made, keys[~known])
+        return [[found[w] for w in x] for x in lists]
+
+    def hold(self, new: list[str], made: list[bytes], keys: np.ndarray) -> None:
+        size = sum(map(len, new))
+        if len(self) + len(new) > self.most or self.chars + size > 32 * self.most:
+            self.clear()
+        if len(new) <= self.most and size <= 32 * self.most:
+            order = np.argsort(keys)
+            there = np.searchsorted(self.hashes, keys[order])
+            self.at = np.insert(self.at, there, len(self) + order)
+            self.hashes = np.insert(self.hashes, there, keys[order])
+            self.words = pa.concat_arrays([self.words, pa.array(new, pa.large_string())])
+            self.ids = pa.concat_arrays([self.ids, pa.array(made, pa.large_binary())])
+            self.chars += size
+
+
 @functools.lru_cache(maxsize=2)
 def tokenizer(path: str):
     """Once in each Python worker: the tokenizer, a cache of the ids of stretches between blanks without a stop, and the same tokenizer for PLAIN words, which only splits at blanks."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer, normalizers, pre_tokenizers
+    from tokenizers import Tokenizer, pre_tokenizers
 
-    plain = Tokenizer.from_file(path)
-    plain.normalizer = normalizers.Sequence([])
+    tok = Tokenizer.from_file(path)
+    plain = Tokenizer(tok.model)  # one vocabulary in memory
     plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-    return Tokenizer.from_file(path), Cache(500_000), plain
+    return tok, Held(CACHED), plain
 
 
 def lowered(text: str) -> str:

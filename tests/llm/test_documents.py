@@ -1,12 +1,14 @@
 """Operators that take each document by itself, against plain versions, with nulls, blanks, long texts, repeats and empty tables."""
 
 import collections
+import gc
 import hashlib
 import json
 import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 
 import duckdb
@@ -161,6 +163,35 @@ def test_plain_words_by_the_plain_tokenizer():
         assert plain.encode(word, add_special_tokens=False).ids == tok.encode(word, add_special_tokens=False).ids, word
 
 
+def test_held_words_take_little_memory():
+    """Words that a worker holds don't take a Python object each; what they come to stays right past the bound and where hashes meet."""
+    packing.tokenizer.cache_clear()
+    held = packing.tokenizer(WORDS)[1]
+    packing.tokenizer.cache_clear()
+
+    def make(words: list[str]) -> list[bytes]:
+        return [w.encode() * 2 for w in words]
+
+    gc.collect()
+    tracemalloc.start()
+    before = pa.total_allocated_bytes()
+    for k in range(0, 300_000, 30_000):
+        words = [f"word{i}" for i in range(k, k + 30_000)]
+        assert held.resolve([words], make) == [make(words)]
+    del words
+    taken = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - before
+    tracemalloc.stop()
+    assert len(held) == 300_000 and taken < 25_000_000
+    asked: list[str] = []
+    assert held.resolve([["word7", "new", "word299999", "new"], ["", "word7"]], lambda w: asked.extend(w) or make(w)) == [make(["word7", "new", "word299999", "new"]), make(["", "word7"])]
+    assert sorted(asked) == ["", "new"]
+    few = packing.Held(3)
+    few.hashes, few.at, few.words, few.ids = np.array([hash("a")]), np.array([0]), pa.array(["b"], pa.large_string()), pa.array([b"-"], pa.large_binary())
+    assert few.resolve([["a"]], make) == [[b"aa"]]
+    for words in (["a", "c", "d"], ["e"], ["a", "b", "c", "d", "e"], ["f" * 97], []):
+        assert few.resolve([words], make) == [make(words)] and len(few) <= 3
+
+
 def test_evolution_ends_with_a_grouping_at_the_bound(monkeypatch):
     """Where best fit has as few bins as there can be, no other groupings are made; where it hasn't, they still are."""
     calls, plain = [], packing.refit
