@@ -227,6 +227,49 @@ def test_lines(spark):
     assert lines.report(docs.where("doc_id = 12345")).count() == 0
 
 
+def test_simhashes_are_made_within_the_row(spark):
+    """No exchange for the votes; the bits are those that most words of a block vote for, in short lines and in very long ones."""
+    rng = np.random.default_rng(11)
+    texts = ["\n".join(" ".join(f"w{k:06d}z" for k in rng.integers(0, 900, n)) for n in (3, 4, 17, 60, 511, 512, 2500)), "one two three four\n\n yes", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    table = lines.line_table(docs)
+    assert "Exchange" not in table._jdf.queryExecution().executedPlan().toString()
+    got = {(r.id, r.line_no): r for r in table.collect()}
+    assert {k for k in got} == {(0, n) for n in range(7)} | {(1, 0), (1, 2)}
+    words = [(i, n, w, 2 * k // len(found)) for i, t in enumerate(texts) for n, line in enumerate((t or "").split("\n")) for found in [re.findall("[a-z0-9]{4,}", line)] if len(found) >= lines.WORDS for k, w in enumerate(found)]
+    hashed = spark.createDataFrame(words, "id long, line_no int, w string, half long").selectExpr("id", "line_no", "xxhash64(w, half) AS h").collect()
+    by_line = collections.defaultdict(lambda: collections.defaultdict(list))
+    for r in hashed:
+        by_line[r.id, r.line_no][r.h % 2**64 >> 61].append(r.h % 2**64)
+    for at, r in got.items():
+        found, expected = by_line.get(at, {}), [0] * lines.PAIRS
+        for j, votes in found.items():
+            # the lowest bit counts votes and is none
+            bits = sum(1 << 9 * k + i for k in range(7) for i in range(4) if (k, i) != (0, 0) and 2 * sum(v >> 9 * k + i & 1 for v in votes) > len(votes))
+            expected[j // 2] |= sum((bits >> 9 * k + i & 1) << 9 * k + (8 if j % 2 == 0 else 4) - i for k in range(7) for i in range(4))
+        assert [r[f"p{s}"] % 2**64 for s in range(lines.PAIRS)] == expected, at
+        assert [r.flags >> j & 1 for j in range(lines.GROUPS)] == [int(len(found.get(j, [])) >= (lines.FILLED if len(found) and sum(map(len, found.values())) <= lines.MOST else 1)) for j in range(lines.GROUPS)]
+
+
+def test_roots_of_lines_are_those_of_all_links(spark):
+    """Components of the first links are tied by later ones as if all were searched together."""
+    rng = np.random.default_rng(12)
+    base = [" ".join(f"{''.join(rng.choice(list('abcdefgh'), 7))}" for _ in range(40)) for _ in range(4)]
+    texts = [" ".join(w if k not in (n % 40, (n * 7) % 40) else f"{w}{n}" for k, w in enumerate(b.split())) for b in base for n in range(8)]
+    source = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    table = lines.written(lines.line_table(source), "lines")
+    got = {(r.node, r.root) for r in lines.linked(table, source).collect()}
+    assert got == {(r.node, r.root) for r in components(lines.links(table, source)).collect()} and len(got) > 8
+
+
+def test_components_with_nothing_broadcast(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    edges = spark.createDataFrame([(int(a), int(b)) for a, b in rng.integers(0, 60, (40, 2))], "u long, v long")
+    few = {(r.node, r.root) for r in components(edges).collect()}
+    monkeypatch.setattr("foliant.llm.components.BROADCAST_ROWS", 0)
+    assert {(r.node, r.root) for r in components(edges).collect()} == few and few
+
+
 def test_line_recall(spark):
     """Of all pairs of lines with enough edit similarity, however they differ in their SimHashes, nine in ten are found at least."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
