@@ -94,3 +94,24 @@ def test_manifests(spark):
     assert not any(r.success for r in processes.compiled(rows, "k", "name", "data", ["no-such-program"], "main.pdf").collect())
     assert processes.compiled(rows.where("k > 50"), "k", "name", "data", ["sh", "main.tex"], "main.pdf").count() == 0
     assert rows.agg(F.count("*")).first()[0] == len(files)
+
+
+def test_programs_that_wait(spark, tmp_path):
+    """Programs that sleep until they are killed hold up nobody, and those that work have their time to themselves."""
+    rows = spark.createDataFrame([(k, "main.tex", b"sleep 600" if k % 2 else b"printf made > main.pdf") for k in range(48)], "k long, name string, data binary")
+    began = time.monotonic()
+    got = {r.k: (r.pdf and bytes(r.pdf), r.logs, r.success) for r in processes.compiled(rows, "k", "name", "data", ["sh", "main.tex"], "main.pdf", limit=3).collect()}
+    assert time.monotonic() - began < 16  # one after the other, four tasks would take 18 seconds at least
+    assert got == {k: (None, "timed out after 3 seconds", False) if k % 2 else (b"made", "", True) for k in range(48)}
+
+    def manifests():
+        for k in range(3):
+            held = processes.Manifest(k)
+            held.add("main.tex", f"echo starts >> {tmp_path}/log; while [ ! -e {tmp_path}/end{k} ]; do :; done; echo ends >> {tmp_path}/log".encode())
+            yield held
+
+    timers = [threading.Timer(1.2 * (k + 1), (tmp_path / f"end{k}").touch) for k in range(3)]
+    for timer in timers:
+        timer.start()
+    assert sorted(x[0] for x in processes.results(manifests(), ["sh", "main.tex"], "log", 20, 1000)) == [0, 1, 2]
+    assert (tmp_path / "log").read_text().split() == ["starts", "ends"] * 3
