@@ -753,7 +753,9 @@ MODEL_SQL = "['" + "', '".join(edits.WORKER_MODELS) + "'][((id - 1) % 6 + 1)::IN
 @query(WORKED_SQL.replace("TAKEN", "id % 4 = 1 AND NOT (doc_id % 400 = 7 AND id = 1)").replace("STATUS", f"WHEN doc_id % 400 = 7 AND id = 1 THEN 'error: timed out after 4 seconds' WHEN id % 4 = 2 THEN 'error: worker ' || {MODEL_SQL} || ' failed'"))
 def p2_p4_isolated_workers(read):
     """Chunks are dealt out to workers, of which some fail and some are late; the documents come together all the same."""
-    tasks = edits.scatter(splitter.split(latex(read), "doc_id", "code", edits.TARGET_CHUNKS), "doc_id", "preamble")
+    # chunks are made twice, for the workers and for what comes back, so the table is dealt out first, as its file may be one task's
+    docs = latex(read).repartition(workers.shares(read("documents").sparkSession), "doc_id")
+    tasks = edits.scatter(splitter.split(docs, "doc_id", "code", edits.TARGET_CHUNKS), "doc_id", "preamble")
     prompt = t.chunk_prompt(F.col("chunk_id"), F.col("total"), F.col("chunk"), F.col("doc_id").cast("string"))
     done = workers.worked(tasks.withColumn("prompt", prompt), "doc_id", "prompt", stand_in_worker, seconds=4)
     return merged_with_statuses(edits.with_replies(tasks, done, "doc_id"))

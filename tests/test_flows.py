@@ -43,6 +43,23 @@ def test_calls_at_once():
     assert workers.called(worker, [(str(k), "m") for k in range(5)], 5) == [(str(k), None) for k in range(5)]
 
 
+def test_late_calls_hold_up_nobody(spark):
+    """A late call takes its place among those at once until it is given up, and the others go on beside it; few files are no fewer tasks."""
+
+    def worker(prompt, model):
+        if prompt == "late":
+            time.sleep(30)
+        return prompt + model
+
+    rows = spark.range(400).selectExpr("id AS doc", "cast(id AS int) AS chunk_id", "if(id % 8 = 3, 'late', concat('p', id)) AS p", "'m' AS model").coalesce(1)
+    began = time.monotonic()
+    got = {r.chunk_id: (r.doc, r.reply, r.error) for r in workers.worked(rows, "doc", "p", worker, seconds=1).collect()}
+    assert time.monotonic() - began < 25  # 50 seconds if eight are waited for together
+    assert got == {k: (k, None, "timed out after 1 seconds") if k % 8 == 3 else (k, f"p{k}m", None) for k in range(400)}
+    calls = workers.answers(worker, [("late" if k == 0 else str(k), "m") for k in range(30)], 1, 2)
+    assert [k for k, _, _ in calls] == [*range(1, 30), 0]
+
+
 def test_replies_in_any_order(spark):
     tasks = spark.createDataFrame([(d, k, 3, f"chunk {k}") for d in (1, 2) for k in (1, 2, 3)] + [(None, 1, 1, "no key")], "doc long, chunk_id int, total int, chunk string")
     block = "UPDATED_LATEX:\n```latex\n{}\n```\nCHANGES_SUMMARY: {}"
