@@ -292,6 +292,58 @@ def test_line_recall(spark):
     assert sum(sets.root(a) == sets.root(b) for a, b in true) >= 0.9 * len(true)
 
 
+def test_brief_lines(spark):
+    """Lines of few words, or in a script without blanks, link as all pairs of them do that are similar and have the same numbers; those with more words that lost or won one by an edit are among them."""
+    rng = np.random.default_rng(14)
+    texts = ["read it now", "read it, now!", "Read it nnow", "chapter twelve a", "chaptr twelve a", "chapter 12 of it", "chapter 13 of it", "chapter 12 of itt", "---", "***", "ab", "ac", "a.b", "one hundred lines here", "one hundred linesh ere", "item 1000", "item 100", "item 1", "fff done", "done"]
+    han = "".join(map(chr, rng.integers(0x4E00, 0x4E00 + 3000, 1040)))
+    for n in (9, 10, 30, 49, 99, 100, 101, 200, 520, 521, 1040):
+        for k in range(3):
+            chars = list(han[:n])
+            for at in rng.choice(n, n // (10 + 5 * k), replace=False):  # as many edits as may be, and fewer
+                chars[at] = ("", chars[at] + "又", "又")[int(rng.integers(0, 3))]
+            texts += [han[:n], "".join(chars)]
+    for n in (5, 12, 25, 45, 70, 94, 105):
+        for _ in range(6):
+            base = "".join(rng.choice(list("ab c"), n)).strip()
+            chars = list(base)
+            for at in rng.choice(len(chars), max(1, len(chars) // 10), replace=False):
+                chars[at] = ("", chars[at] + "b", " ", "\U00020000")[int(rng.integers(0, 4))]
+            texts += [base, "".join(chars)]
+    # four words whose votes are scattered have no key
+    texts += [x for _ in range(30) for w in ["".join(rng.choice(list("abcdefgh"), 28)) for _ in range(1)] for a in [f"{w[:7]} {w[7:14]} {w[14:21]} {w[21:]}"] for x in (a, a[:-1], a + "a")]
+    texts = sorted({x for x in texts if x.strip()})
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    nodes, found = of_lines(spark, docs)
+    name = {v: k for k, v in nodes.items()}
+    table = lines.line_table(docs.selectExpr("doc_id AS id", "text"))
+    keyed = {r.node for r in lines.with_keys(table, "node").collect()}
+    assert any(node not in keyed and len(re.findall("[a-z]{4,}", name[node])) == lines.WORDS for node in name)
+    true = set()
+    for (a, u), (b, v) in itertools.combinations(sorted(nodes.items()), 2):
+        x, y = normal(a), normal(b)
+        if x and y and not {u, v} <= keyed and abs(len(x) - len(y)) <= (1 - lines.SIMILAR) * max(len(x), len(y)) + 1e-9 and similar(x, y) and re.findall(r"\d+", x) == re.findall(r"\d+", y):
+            true.add((min(u, v), max(u, v)))
+    assert {p for p in found if not set(p) <= keyed} == true and len(true) > 60
+    named = {frozenset((name[u], name[v])) for u, v in true}
+    assert {frozenset(("read it now", "read it, now!")), frozenset(("chapter 12 of it", "chapter 12 of itt")), frozenset(("one hundred lines here", "one hundred linesh ere"))} <= named
+    assert not named & {frozenset(("chapter 12 of it", "chapter 13 of it")), frozenset(("---", "***")), frozenset(("ab", "ac"))}
+    assert len({nodes[x] for x in ("item 1000", "item 100", "item 1", "fff done", "done")}) == 5
+
+
+def test_cells_of_brief_lines(spark, monkeypatch):
+    """However few nodes a cell has, all pairs of a key meet."""
+    texts = [f"read {x}{y} it now" for x in "abcdefghij" for y in "abcdefghij"]
+    source = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    table = lines.written(lines.line_table(source), "lines")
+    words = table.select("id", "node").join(source, "id").selectExpr("node", "text AS normal")
+    nodes = lines.brief_nodes(table)
+    pairs = {(r.u, r.v) for r in lines.brief_pairs(nodes, words).collect()}
+    monkeypatch.setattr(lines, "PART", 7)
+    monkeypatch.setattr("foliant.llm.common.BROADCAST_ROWS", 0)
+    assert {(r.u, r.v) for r in lines.brief_pairs(nodes, words).collect()} == pairs and len(pairs) >= 900
+
+
 def test_lines_of_the_same_words_in_other_orders(spark):
     """Two thousand orders of the same words share words, but hardly any keys, so that far from all pairs are candidates."""
     rng = np.random.default_rng(4)
